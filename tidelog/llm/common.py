@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: dict[str, SparkSession] = {}
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +31,11 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    if not (out := spark.conf.get("spark.checkpoint.dir", None)):
-        out = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-        spark.conf.set("spark.checkpoint.dir", out)
-    return out.rstrip("/")
+    if out := spark.conf.get("spark.checkpoint.dir", None):
+        return out.rstrip("/")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='tidelog-')}")
+    return _own[0]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
