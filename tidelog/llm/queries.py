@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import byte_bpe
-from tidelog.llm.common import table
+from tidelog.llm import byte_bpe, langid
+from tidelog.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = langid.fit(documents.where("not held_out"))
+    return langid.identify(documents, model, keep=("held_out",))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +22,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
