@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm import common
 
-#: Distinct pieces whose ids a worker remembers.
-CACHE_ROWS = 300_000
+#: Distinct pieces whose ids a worker remembers, and token pairs of which it knows whether they stay apart.
+CACHE_ROWS, PAIR_ROWS = 400_000, 300_000
 _NONE = 1 << 62
 
 
@@ -39,6 +41,7 @@ class Vocabulary:
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens), default=1)
+        self.known: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         self.left = list(range(len(tokens)))
         self.right = list(range(len(tokens)))
@@ -50,12 +53,39 @@ class Vocabulary:
                     self.pairs[a, b] = i
                     break
         self.lengths = [len(t) for t in tokens]
-        ends: dict[bytes, set[int]] = {}
-        for i, t in enumerate(tokens):
-            if self.left[i] != i:  # a token that no merge makes ends no prefix
-                ends.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths of merged tokens by their last two bytes, longest first.
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The trie of all tokens with failure links: its node after a prefix knows which tokens are suffixes of it."""
+        self.moves: dict[int, int] = {}
+        end, parents = {}, [(0, 0)]
+        for i, t in enumerate(self.tokens):
+            node = 0
+            for byte in t:
+                if (to := self.moves.get(node << 8 | byte)) is None:
+                    to = self.moves[node << 8 | byte] = len(parents)
+                    parents.append((node, byte))
+                node = to
+            if len(t) == 1 or self.left[i] != i:  # a token that no merge makes ends no prefix
+                end[node] = i
+        self.fail = [0] * len(parents)
+        self.suffixes: list[tuple[int, ...]] = [()] * len(parents)
+        depth = [0] * len(parents)
+        for node in range(1, len(parents)):
+            depth[node] = depth[parents[node][0]] + 1
+        for node in sorted(range(1, len(parents)), key=depth.__getitem__):
+            parent, byte = parents[node]
+            if parent:
+                self.fail[node] = self._fall(self.fail[parent], byte)
+            self.suffixes[node] = ((end[node],) if node in end else ()) + self.suffixes[self.fail[node]]
+        self.falls: dict[int, int] = {}
+
+    def _fall(self, node: int, byte: int) -> int:
+        while (to := self.moves.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.fail[node]
+        return to
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' bytes together is just these two."""
@@ -76,21 +106,36 @@ class Vocabulary:
                     if a == limit:
                         return True
 
-    def last_of(self, data: bytes, i: int, last: list[int]) -> int:
-        """The last token of data[:i + 1], given those of all shorter prefixes."""
-        ids, ends = self.ids, self.ends
-        for n in (*ends.get(data[i - 1 : i + 1], ()), 1) if i else (1,):
-            start = i + 1 - n
-            if start < 0 or (token := ids.get(data[start : i + 1])) is None:
-                continue
-            if start == 0 or self.apart(last[start - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
+    def extend(self, data: bytes, nodes: list[int], last: list[int], most: int = _NONE) -> None:
+        """Add the automaton's node and the last token of each further prefix of data, at most so many."""
+        moves, falls, known, lengths, suffixes = self.moves, self.falls, self.known, self.lengths, self.suffixes
+        node = nodes[-1] if nodes else 0
+        for i in range(len(last), min(len(data), len(last) + most)):
+            key = node << 8 | data[i]
+            if (to := moves.get(key)) is None and (to := falls.get(key)) is None:
+                if len(falls) >= PAIR_ROWS:
+                    falls.clear()
+                to = falls[key] = self._fall(node, data[i])
+            node = to
+            for token in suffixes[node]:
+                before = i - lengths[token]
+                if before < 0:
+                    break
+                pair = last[before] << 32 | token
+                if (apart := known.get(pair)) is None:
+                    if len(known) >= PAIR_ROWS:
+                        known.clear()
+                    apart = known[pair] = self.apart(last[before], token)
+                if apart:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+            nodes.append(node)
+            last.append(token)
 
     def prefixes(self, data: bytes) -> list[int]:
         last: list[int] = []
-        for i in range(len(data)):
-            last.append(self.last_of(data, i, last))
+        self.extend(data, [], last)
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -101,6 +146,19 @@ class Vocabulary:
             i -= self.lengths[last[i - 1]]
         return out[::-1]
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of pieces in byte order: what a piece shares with the one before it is not computed again."""
+        before, nodes, last = b"", [], []
+        for piece in pieces:
+            if (token := self.ids.get(piece)) is not None:
+                yield [token]
+                continue
+            shared = len(os.path.commonprefix((before, piece)))
+            del nodes[shared:], last[shared:]
+            self.extend(piece, nodes, last)
+            before = piece
+            yield self.walk(last)
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece: a token if it is one, as encoders of this kind look first, else the BPE encoding."""
         token = self.ids.get(piece)
@@ -112,25 +170,26 @@ class PrefixEncoder:
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary, self.data = vocabulary, b""
+        self.nodes: list[int] = []
         self.last: list[int] = []
         self.append(data)
 
     def append(self, data: bytes) -> None:
         self.data += data
-        for i in range(len(self.last), len(self.data)):
-            self.last.append(self.vocabulary.last_of(self.data, i, self.last))
+        self.vocabulary.extend(self.data, self.nodes, self.last)
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Put data in the place of bytes start to end; returns how many entries were computed."""
-        old, shift = self.last, len(data) - (end - start)
+        nodes, old, shift = self.nodes, self.last, len(data) - (end - start)
         self.data = self.data[:start] + data + self.data[end:]
-        self.last, agreed, done = old[:start], 0, 0
+        self.nodes, self.last, agreed, done = nodes[:start], old[:start], 0, 0
         for i in range(start, len(self.data)):
-            self.last.append(self.vocabulary.last_of(self.data, i, self.last))
+            self.vocabulary.extend(self.data, self.nodes, self.last, 1)
             done += 1
             was = i - shift
             agreed = agreed + 1 if was >= end and old[was] == self.last[i] else 0
             if agreed >= self.vocabulary.longest:
+                self.nodes += nodes[was + 1 :]
                 self.last += old[was + 1 :]
                 break
         return done
@@ -142,19 +201,23 @@ class PrefixEncoder:
 
 
 class _Pieces(dict):
-    """Ids of pieces as little-endian bytes, found when first asked for; emptied when full."""
+    """Ids of pieces as little-endian bytes; emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.long: list[str] = []
 
-    def __missing__(self, piece: str) -> bytes:
+    def learn(self, pieces: set[str]) -> None:
+        """Make sure that these pieces are known. Long ones stay until others are asked for."""
+        for piece in self.long:
+            self.pop(piece, None)
         if len(self) >= CACHE_ROWS:
             self.clear()
-        out = np.array(self.vocabulary.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        new = sorted((p.encode(), p) for p in pieces if p not in self)
+        self.long = [p for _, p in new if len(p) > 64]
+        for (_, piece), ids in zip(new, self.vocabulary.encode_sorted([b for b, _ in new]), strict=True):
+            self[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ready: dict[bytes, _Pieces] = {}
@@ -189,8 +252,10 @@ def encode_decode(df: DataFrame, tokens: list[bytes], pattern: str, id_col: str
         for batch in batches:
             for start, end in common.pieces(batch.column(1)):
                 counts, first, second = [], [], []
-                for text in batch.column(1).slice(start, end - start).to_pylist():
-                    ids = b"".join(map(cache.__getitem__, find(text or "")))
+                found = [find(text or "") for text in batch.column(1).slice(start, end - start).to_pylist()]
+                cache.learn(set().union(*found))
+                for pieces in found:
+                    ids = b"".join(map(cache.__getitem__, pieces))
                     decoded = b"".join(map(vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
                     counts.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<i4"))
