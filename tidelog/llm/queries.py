@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import byte_bpe, langid
+from tidelog.llm import byte_bpe, langid, minhash
 from tidelog.llm.common import held_out, table
 
 
@@ -21,8 +21,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN, digests=True)
 
 
+def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op8_byte_bpe": op8_byte_bpe, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
