@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import byte_bpe, langid, minhash
+from tidelog.llm import byte_bpe, langid, linededup, minhash
 from tidelog.llm.common import held_out, table
 
 
@@ -14,6 +14,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model, keep=("held_out",))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(documents)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,8 +31,8 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op8_byte_bpe": op8_byte_bpe, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_language_id": op1_language_id, "op6_line_dedup": op6_line_dedup, "op8_byte_bpe": op8_byte_bpe, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": linededup.ORACLE}
