@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, langid, linededup, minhash
-from tidelog.llm.common import held_out, table
+from tidelog.llm import byte_bpe, langid, linededup, minhash, warc
+from tidelog.llm.common import held_out, new_path, table, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +27,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN, digests=True)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path)
+    rows = written(read.select("id", F.length("payload").cast("long").alias("size"), "payload_digest", "record_type", "refers_to", "intact"), "warc-rows")
+    sizes = rows.where("record_type = 'response'").groupBy(F.col("id").alias("of")).agg(F.max("size").alias("full"))
+    rows = rows.join(sizes, F.col("refers_to") == F.col("of"), "left")
+    return rows.select(F.col("id").alias("page_id"), F.coalesce("size", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op6_line_dedup": op6_line_dedup, "op8_byte_bpe": op8_byte_bpe, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_language_id": op1_language_id, "op6_line_dedup": op6_line_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.ORACLE}
+    return {"op6_line_dedup": linededup.ORACLE, "op9_warc": warc.ORACLE}
