@@ -47,3 +47,20 @@ def test_components(spark):
     want = brute.components({x for e in edges for x in e}, edges)
     assert got == {n: c for n, c in want.items() if n != c}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dense_group_with_isolated_members(spark):
+    """Variants around the threshold, more than the neighbours looked at, in several components."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randint(3, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(4000)}"
+        rows.append((i * 3, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2).collect()}
+    want = brute.near_duplicates(rows, 2)
+    assert 1 < len({c for _, c in want.values()}) < 700
+    assert got == want

@@ -9,7 +9,7 @@
 3. Candidates whose signatures could not belong to a similar pair are dropped by one bit of each minimum; the rest are
    confirmed on the full sets, the nearest ones first. Pairs that are linked through others already need no look.
 4. The listed regions that still hold more than one component are gone through whole: all members outside the region's
-   main component against all members of other components. So no cap on neighbours loses a link.
+   main component against all members of other components, in blocks. So no cap on neighbours loses a link.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import common, components, words
 
 HASHES, TREES, DEPTH, NEAR = 128, 24, 5, 6
+#: Members in a block of step 4, and columns of its matrices that are held at once.
+BLOCK, COLUMNS = 400, 8192
 #: Of HASHES bits, each equal with probability (1 + J) / 2: at J = 0.8 fewer than these agree in about one pair in 10 million.
 AGREE = 98
 _FACTOR = common.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -85,7 +87,7 @@ def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches) -> Iterator:
-    """Over sorted labels: pairs (a, b, rank), and members of long runs of one label (a, key, b1, b2; rank -1)."""
+    """Over sorted labels: pairs (a, b, rank), and members of long runs of one label (a, key; rank -1)."""
     import pyarrow as pa
 
     width = 1 + 4 * DEPTH
@@ -93,11 +95,10 @@ def _neighbours(batches) -> Iterator:
     before = empty
 
     def emit(label, rep, bits, old):
-        cols = {"a": [], "b": [], "rank": [], "b1": [], "b2": []}
+        cols = {"a": [], "b": [], "rank": []}
 
-        def add(a, b, rank, b1=None, b2=None):
-            zero = np.zeros(len(a), np.int64)
-            for c, v in zip(cols, (a, b, rank, zero if b1 is None else b1, zero if b2 is None else b2), strict=True):
+        def add(*values):
+            for c, v in zip(cols, values, strict=True):
                 cols[c].append(v)
 
         for gap in range(1, NEAR + 1):
@@ -115,7 +116,7 @@ def _neighbours(batches) -> Iterator:
         long &= sizes[run] > 1
         long[:old] = False
         if long.any():
-            add(rep[long], _keys(label[long]), np.full(long.sum(), -1), *bits[long].view(np.int64).T)
+            add(rep[long], _keys(label[long]), np.full(long.sum(), -1))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in cols.values()], list(cols))
 
     for batch in batches:
@@ -185,7 +186,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     reps = sets.join(chosen, sets["id"] == chosen["rep"]).select("rep", "sig", "b1", "b2").dropDuplicates(["rep", "b1", "b2"])
     labels = common.written(reps.mapInArrow(_labels, "label binary, rep long, b1 long, b2 long"), "labels")
     ordered = labels.repartitionByRange(common.partitions(spark), "label", "rep").sortWithinPartitions("label", "rep")
-    found = common.written(ordered.mapInArrow(_neighbours, "a long, b long, rank long, b1 long, b2 long"), "neighbours")
+    found = common.written(ordered.mapInArrow(_neighbours, "a long, b long, rank long"), "neighbours")
     common.release(sets, labels)
 
     candidates = common.written(found.where("rank >= 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates")
@@ -198,26 +199,80 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     more = common.written(confirmed(rest, texts, shingle, percent), "second")
     parts = _joined(parts, more)
 
-    regions = found.where("rank < 0").select(F.col("a").alias("rep"), F.col("b").alias("key"), "b1", "b2").distinct()
+    regions = found.where("rank < 0").select(F.col("a").alias("rep"), F.col("b").alias("key")).distinct()
     if not regions.limit(1).isEmpty():
-        regions = regions.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "b1", "b2", F.coalesce("component", "rep").alias("c"))
-        sizes = regions.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-        regions = common.written(regions.join(mixed, "key"), "regions")
-        x, y = regions.where("c <> main").alias("x"), regions.alias("y")
-        agree = F.lit(HASHES) - F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) - F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & (agree >= AGREE))
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        pairs = pairs.join(looked.select("a", "b"), ["a", "b"], "left_anti").join(more.select("a", "b"), ["a", "b"], "left_anti")
-        last = common.written(confirmed(pairs, texts, shingle, percent), "third")
-        parts = _joined(parts, last)
-        common.release(regions, last)
+        parts = _joined(parts, _rest(regions, parts, texts, shingle, percent))
     common.release(found, candidates, texts, looked, more)
     out = classes.join(parts, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links a, b (linked is true) between components that share a region; see step 4.
+
+    Regions with members in common are one family. A family's members outside its main component are dealt in blocks of
+    about BLOCK, as are all its members; each pair of blocks is one task's work, which compares the full sets by products
+    of incidence matrices and gives only a spanning forest of what it finds linked.
+    """
+    of = regions.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    of = common.written(of, "regions")
+    mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("low")).where("x <> y").select("key", "low")
+    members = common.written(of.join(mixed, "key").select("rep", "c", "low").distinct(), "members")
+    families = components.components(members.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    members = members.select("rep", "c").distinct().join(families, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("family"))
+    members = common.written(members, "families")
+    sizes = members.groupBy("family", "c").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("family").agg(F.sum("size").alias("m"), F.max("size").alias("most"), F.max(F.struct("size", "c")).alias("main"))
+    sizes = sizes.select("family", F.col("main.c").alias("main"), F.ceil(F.col("m") / BLOCK).alias("ny"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("nx"))
+    dealt = members.join(sizes, "family").withColumn("h", F.xxhash64("rep"))
+    x = dealt.where("c <> main").select("family", "rep", "c", F.lit(True).alias("outside"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
+    y = dealt.select("family", "rep", "c", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.expr("pmod(h, ny)").alias("by"))
+    blocks = x.unionByName(y).join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+
+    def run(table):
+        import pyarrow as pa
+
+        rep, c, outside = (table.column(k).to_numpy() for k in ("rep", "c", "outside"))
+        sets = words.shingle_sets(table.column("text"), shingle)
+        a, b = linked_blocks(sets, np.flatnonzero(outside), np.flatnonzero(~outside.astype(bool)), c, percent)
+        u, v = components.stars(rep[a], rep[b])
+        return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64()), "linked": pa.array(np.ones(len(u), bool))})
+
+    out = common.written(blocks.select("family", "bx", "by", "rep", "c", "outside", "text").groupBy("family", "bx", "by").applyInArrow(run, "a long, b long, linked boolean"), "third")
+    common.release(of, members, families)
+    return out
+
+
+def linked_blocks(sets: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, c: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of sets, one of xs and one of ys with another c, that are similar enough."""
+    if not len(xs) or not len(ys):
+        return xs[:0], ys[:0]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    column = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(xs), len(ys)))
+    place = np.full((2, len(sets)), -1)
+    place[0, xs], place[1, ys] = np.arange(len(xs)), np.arange(len(ys))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        sides = []
+        for side, n in enumerate((len(xs), len(ys))):
+            row = place[side, owner[lo:hi]]
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[row[row >= 0], column[lo:hi][row >= 0] - start] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    size = np.array([len(s) for s in sets], np.float64)
+    ok = (both > 0) & (100 * both >= percent * (size[xs][:, None] + size[ys] - both)) & (c[xs][:, None] != c[ys])
+    i, j = np.nonzero(ok)
+    return xs[i], ys[j]
+
+
 def _joined(parts: DataFrame, looked: DataFrame) -> DataFrame:
     """The components after further links."""
     links = looked.where("linked").select("a", "b")
