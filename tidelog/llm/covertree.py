@@ -359,7 +359,7 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
 
 ORACLE = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
 low AS (SELECT id, min(c) AS c FROM reach GROUP BY id),
