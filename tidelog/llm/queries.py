@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, covertree, langid, linededup, minhash, warc
+from tidelog.llm import byte_bpe, covertree, langid, linededup, minhash, tokencount, warc
 from tidelog.llm.common import held_out, new_path, table, written
 
 
@@ -24,11 +24,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents)
 
 
-def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> tuple[list[bytes], str]:
+    """The tokens and the pattern that the queries use."""
     import public_tokenizers
 
-    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN, digests=True)
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), *vocabulary(), digests=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op3_cover_tree": op3_cover_tree, "op6_line_dedup": op6_line_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_language_id": op1_language_id, "op3_cover_tree": op3_cover_tree, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
