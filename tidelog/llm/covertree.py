@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common, components
 
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Radii of the nets below a chunk's root. Above the threshold's own radius nets of high-dimensional vectors prune nothing.
+RADII = (0.5, 0.25, 0.125, 0.0625)
 #: The pivots are chosen from at most about so many vectors; there are at most so many of them.
 SAMPLE_ROWS, MOST_PIVOTS = 2048, 512
 #: Rows of a chunk, from and to; within that, an eighth of the table.
@@ -156,13 +157,13 @@ def dual(p: Tree, q: Tree, threshold: float, same: bool) -> Iterator[tuple[str,
                 if same and a[k] == b[k]:
                     cols = cols[cols >= rows[0]]
                 cosine = p.x[p.nodes[level + 1][2][rows]] @ q.x[q.nodes[level + 1][2][cols]].T
-                r = p.nodes[level + 1][3][rows][:, None] + q.nodes[level + 1][3][cols]
-                most = r + (reach + SLACK)
-                i, j = np.nonzero(2 - 2 * cosine <= most * most)
+                rp, rq = p.nodes[level + 1][3][rows], q.nodes[level + 1][3][cols]
+                most = rp.max() + rq.max() + reach + SLACK if len(cols) else 0.0
+                i, j = np.nonzero(cosine >= 1 - most * most / 2 - SLACK)
                 if same and a[k] == b[k]:
                     up = rows[i] <= cols[j]
                     i, j = i[up], j[up]
-                for kind, u, v in sort_out(level + 1, rows[i], cols[j], np.sqrt(np.maximum(0, 2 - 2 * cosine[i, j])), r[i, j]):
+                for kind, u, v in sort_out(level + 1, rows[i], cols[j], np.sqrt(np.maximum(0, 2 - 2 * cosine[i, j])), rp[i] + rq[j]):
                     found.setdefault(kind, []).append((u, v))
             for kind, pairs in found.items():
                 u, v = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
