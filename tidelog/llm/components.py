@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-#: Edges that one call of stars() holds at once.
-BLOCK = 500_000
+#: Edges that one call of stars(), and so about one task of a first reduction, holds at once.
+BLOCK = 400_000
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,12 +41,13 @@ def _forest(batches) -> Iterator:
         u, v = stars(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    for batch in batches:
-        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
-        rows += batch.num_rows
-        if rows >= BLOCK:
+    # a task's batches are cut so that a block is never larger than BLOCK
+    for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
+        if rows + batch.num_rows > BLOCK:
             yield out()
             held, rows = [], 0
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        rows += batch.num_rows
     if rows:
         yield out()
 
@@ -58,17 +59,26 @@ def _done(edges: DataFrame) -> bool:
     return children.join(parents, F.col("u") == F.col("p"), "left").where("parents > 1 or p is not null").limit(1).isEmpty()
 
 
+def _reduced(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The stars of each block of a written table, in its place, and whether there was one block only."""
+    blocks = max(1, -(-edges.count() // BLOCK))
+    out = common.written(edges.coalesce(blocks).mapInArrow(_forest, "u long, v long"), "stars")
+    common.release(edges)
+    return out, blocks == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns node and component: for each node of an edge, but the smallest of its component, the smallest one.
 
-    Edges with a null end are ignored. Within a partition, blocks of edges are first reduced to stars; then rounds run over
-    what is left. Minima are aggregated before they move, and joins are plain equi-joins that AQE may split, so neither a
-    hub nor a giant component lands in one task. Repeated edges and loops change nothing; no edge gives an empty table.
+    Edges with a null end are ignored. First, blocks of at most BLOCK edges are reduced to stars, one task each; if there is
+    just one block, that is all. Else large-star and small-star rounds run over what is left, until one block holds it or
+    nothing changes. Minima are aggregated before they move, and joins are plain equi-joins that AQE may split, so neither
+    a hub nor a giant component lands in one task. Repeated edges and loops change nothing; no edge gives an empty table.
     """
     common.ship(edges.sparkSession)
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = common.written(pairs.mapInArrow(_forest, "u long, v long").distinct(), "stars")
-    while not _done(now):
+    now, single = _reduced(common.written(pairs, "edges"))
+    while not single and not _done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -77,7 +87,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = step.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = common.written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         common.release(now, step)
-        now = then
+        now, single = _reduced(then)
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out._tidelog_path = now._tidelog_path
     return out
