@@ -12,6 +12,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of words where punctuation doesn't count: ASCII letters and digits, and all others than ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _NEXT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -32,13 +35,14 @@ def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(column, breaks: bool = False):
+def word_hashes(column, breaks: bool = False, members: np.ndarray = _IN_WORD):
     """A hash of each word (A-Z lower-cased, split at white space) and the index of each row's first word, with an end.
 
+    members: which bytes words are made of, if not all but white space.
     With breaks, also the byte at which each word begins within its row, its byte after the last, and the bytes' start.
     """
     data, at = _bytes(column)
-    inside = _IN_WORD[data]
+    inside = members[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     starts = inside.copy()
