@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, tokencount, warc
+from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, tokencount, toxicity, warc
 from tidelog.llm.common import held_out, new_path, table, written
 
 
@@ -15,6 +15,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model, keep=("held_out",))
 
 
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.tag(documents, model, keep=("held_out",))
+
+
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.threshold_links(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +64,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op3_cover_tree": op3_cover_tree, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_language_id": op1_language_id, "op2_toxic_spans": op2_toxic_spans, "op3_cover_tree": op3_cover_tree, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:

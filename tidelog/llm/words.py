@@ -68,6 +68,25 @@ def word_hashes(column, breaks: bool = False, members: np.ndarray = _IN_WORD):
     return (out, first, begin, begin + sizes, at) if breaks else (out, first)
 
 
+def prefix_hashes(column, sizes: tuple[int, ...], members: np.ndarray = _IN_WORD):
+    """For each word a hash of it and of its first so many bytes (a column each); the rest as word_hashes with breaks."""
+    whole, first, begin, end, at = word_hashes(column, True, members)
+    data, _ = _bytes(column)
+    out = np.empty((len(whole), 1 + len(sizes)), np.uint64)
+    out[:, 0] = whole
+    if len(whole):
+        length = end - begin
+        most = max(sizes)
+        head = np.minimum(length, most)
+        offset = np.cumsum(head) - head
+        place = np.arange(head.sum()) - np.repeat(offset, head)
+        value = _BYTE[_LOWER[data[np.repeat(begin, head) + place]]] * _PLACE[place]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        for k, n in enumerate(sizes, 1):
+            out[:, k] = mix(total[offset + np.minimum(head, n)] - total[offset] + np.minimum(length, n).astype(np.uint64) * _NEXT + np.uint64(n))
+    return out, first, begin, end, at
+
+
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's n-word shingles, in order and with repeats; of a row with fewer words, of its whole sequence."""
     total = len(hashes)
