@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, tokencount, toxicity, warc
+from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, paradedup, tokencount, toxicity, warc
 from tidelog.llm.common import held_out, new_path, table, written
 
 
@@ -25,6 +25,10 @@ def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.threshold_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_toxic_spans": op2_toxic_spans, "op3_cover_tree": op3_cover_tree, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
+    return {"op1_language_id": op1_language_id, "op2_toxic_spans": op2_toxic_spans, "op3_cover_tree": op3_cover_tree, "op4_paragraph_dedup": op4_paragraph_dedup, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
