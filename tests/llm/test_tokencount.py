@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import tokencount
-from tidelog.llm.common import table
-from tidelog.llm.queries import op7_token_count, vocabulary
+from tidelog.llm.common import table, vocabulary
+from tidelog.llm.queries import op7_token_count
 
 
 def greedy(word, entries, longest):

@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> tuple[list[bytes], str]:
+    """The tokens and the pattern that the queries use."""
+    import public_tokenizers
+
+    from tidelog.llm.byte_bpe import read_ranks
+
+    return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers of this machine import the package from wherever the driver did."""
     env = spark.sparkContext.environment

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, paradedup, tokencount, toxicity, warc
-from tidelog.llm.common import held_out, new_path, table, written
+from tidelog.llm.common import held_out, new_path, table, vocabulary, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +38,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents)
 
 
-def vocabulary() -> tuple[list[bytes], str]:
-    """The tokens and the pattern that the queries use."""
-    import public_tokenizers
-
-    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
-
-
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -68,7 +61,9 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_toxic_spans": op2_toxic_spans, "op3_cover_tree": op3_cover_tree, "op4_paragraph_dedup": op4_paragraph_dedup, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run, "op1_language_id": op1_language_id, "op2_toxic_spans": op2_toxic_spans, "op3_cover_tree": op3_cover_tree, "op4_paragraph_dedup": op4_paragraph_dedup, "op5_latent_decontamination": op5_latent_decontamination, "op6_line_dedup": op6_line_dedup, "op7_token_count": op7_token_count, "op8_byte_bpe": op8_byte_bpe, "op9_warc": op9_warc, "op10_minhash_forest": op10_minhash_forest}
 
 
 def oracle_sql() -> dict[str, str]:
