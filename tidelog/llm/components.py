@@ -54,9 +54,9 @@ def _forest(batches) -> Iterator:
 
 def _done(edges: DataFrame) -> bool:
     """Whether every node has one parent and no parent has one."""
-    children = edges.groupBy("u").agg(F.count(F.lit(1)).alias("parents"))
-    parents = edges.select(F.col("v").alias("p")).distinct()
-    return children.join(parents, F.col("u") == F.col("p"), "left").where("parents > 1 or p is not null").limit(1).isEmpty()
+    if not edges.groupBy("u").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1").limit(1).isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("p")).distinct(), F.col("u") == F.col("p"), "left_semi").limit(1).isEmpty()
 
 
 def _reduced(edges: DataFrame) -> tuple[DataFrame, bool]:

@@ -218,6 +218,7 @@ def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int,
     of = regions.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     of = common.written(of, "regions")
     mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("low")).where("x <> y").select("key", "low")
+    mixed = common.written(mixed, "mixed")
     members = common.written(of.join(mixed, "key").select("rep", "c", "low").distinct(), "members")
     families = components.components(members.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     members = members.select("rep", "c").distinct().join(families, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("family"))
@@ -240,7 +241,7 @@ def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int,
         return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64()), "linked": pa.array(np.ones(len(u), bool))})
 
     out = common.written(blocks.select("family", "bx", "by", "rep", "c", "outside", "text").groupBy("family", "bx", "by").applyInArrow(run, "a long, b long, linked boolean"), "third")
-    common.release(of, members, families)
+    common.release(of, mixed, members, families)
     return out
 
 

@@ -144,6 +144,7 @@ def similar_paragraphs(df: DataFrame, spark) -> DataFrame:
     reps = paras.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "doc", "low", "high", "bands").dropDuplicates(["id"])
     buckets = common.written(reps.select("id", "doc", "low", "high", F.explode("bands").alias("key")), "buckets")
     stars = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub <> other").select("key", "hub")
+    stars = common.written(stars, "hubs")  # joins of two plain shuffles can be split where a key is hot
     collided = common.written(buckets.join(stars, "key"), "collided")
     texts = common.written(_texts(df, collided.select("doc", "low", "high", "id").distinct()), "paragraph-texts")
     pairs = collided.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -163,13 +164,16 @@ def shared_passages(df: DataFrame) -> DataFrame:
     """doc, low, high and node (equal for passages that share units) of passages that stand in several documents."""
     units = common.written(unit_table(df), "units")
     shared = units.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("key")
+    shared = common.written(shared, "shared")
     hits = units.join(shared, "key").select("doc", "low", "key").distinct()
     order = Window.partitionBy("doc").orderBy("low", "key")
     begins = F.when(F.col("low") - F.lag("low").over(order) <= SPAN, 0).otherwise(1)
     hits = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     hits = common.written(hits.select("doc", "low", "key", F.xxhash64(F.lit("run"), "doc", "run").alias("id")), "hits")
     common.release(units)
-    parts = components.components(hits.select(F.col("id").alias("a"), F.col("key").alias("b")))
+    hubs = hits.groupBy("key").agg(F.min("id").alias("hub"))
+    hubs = common.written(hubs, "hubs")
+    parts = components.components(hits.select("id", "key").join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     runs = hits.groupBy("id", "doc").agg(F.min("low").alias("low"), (F.max("low") + SPAN).alias("high"))
     return runs.join(parts, F.col("id") == F.col("node"), "left").select("doc", "low", "high", F.coalesce("component", "id").alias("node"))
 
