@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tidelog.llm import common
 
 #: Distinct pieces whose ids a worker remembers, and token pairs of which it knows whether they stay apart.
-CACHE_ROWS, PAIR_ROWS = 400_000, 300_000
+CACHE_ROWS, PAIR_ROWS = 300_000, 200_000
 _NONE = 1 << 62
 
 

@@ -22,6 +22,8 @@ TRAIN_ROWS = 20_000
 MOST_MODEL_MB = 256
 #: Texts longer than this are scored in parts.
 PART = 1_000_000
+#: Bytes of texts that are hashed at once.
+PIECE = 500_000
 _letters: list[np.ndarray] = []
 
 
@@ -114,7 +116,7 @@ def _count(batches) -> Iterator:
 
     table: dict[str, np.ndarray] = {}
     for batch in batches:
-        for start, end in common.pieces(batch.column(1)):
+        for start, end in common.pieces(batch.column(1), PIECE):
             labels = batch.column(0).slice(start, end - start).to_pylist()
             texts = batch.column(1).slice(start, end - start).to_pylist()
             for label in sorted(set(labels)):
@@ -169,7 +171,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
 
         for batch in batches:
-            for start, end in common.pieces(batch.column("text")):
+            for start, end in common.pieces(batch.column("text"), PIECE):
                 part = batch.slice(start, end - start)
                 names, scores = score(kept.value, part.column("text").to_pylist())
                 columns = [part.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]

@@ -179,7 +179,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     common.ship(spark)
     sets = common.written(sets_table(df, shingle, id_col, text_col), "sets")
     key = ["n", "s1", "s2"]
-    least = sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"))
+    # written, so that the join below is one of two plain shuffles, which can be split where many sets are equal
+    least = common.written(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "least")
     classes = sets.select("id", *key).join(least, key, "left")
     classes = common.written(classes.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
     chosen = classes.where("id = rep and n > 0").select("rep").distinct()
@@ -187,7 +188,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     labels = common.written(reps.mapInArrow(_labels, "label binary, rep long, b1 long, b2 long"), "labels")
     ordered = labels.repartitionByRange(common.partitions(spark), "label", "rep").sortWithinPartitions("label", "rep")
     found = common.written(ordered.mapInArrow(_neighbours, "a long, b long, rank long"), "neighbours")
-    common.release(sets, labels)
+    common.release(sets, labels, least)
 
     candidates = common.written(found.where("rank >= 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(found.where("rank < 0").select(F.col("a").alias("id"))).distinct()
