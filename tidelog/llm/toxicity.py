@@ -45,6 +45,16 @@ def tokens(column):
     return words.prefix_hashes(column, PREFIXES, words.ALNUM)
 
 
+def tokens_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and each row's first token of a whole column, taken a few rows at a time: on the way tokens() holds many times the text."""
+    hashes, sizes = [np.zeros((0, 1 + len(PREFIXES)), np.uint64)], [np.zeros(1, np.int64)]
+    for start, end in common.pieces(column, 500_000):
+        part, first = tokens(column.slice(start, end - start))[:2]
+        hashes.append(part)
+        sizes.append(np.diff(first))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
+
+
 def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The row of each chain, and a matrix of its tokens (-1 where it has ended)."""
     sizes = np.diff(first)
@@ -202,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = texts.join(F.broadcast(sample), F.col("of") == F.col("id")).select("id", "text", "toxic").toArrow().sort_by("id")
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     third = np.arange(len(toxic)) % 3 == 0
-    pick = lambda keep: (tokens(rows.column("text").combine_chunks().filter(pa.array(keep)))[:2], toxic[keep])
+    pick = lambda keep: (tokens_of(rows.column("text").combine_chunks().filter(pa.array(keep))), toxic[keep])
     if min(toxic[third].sum(), (1 - toxic[third]).sum(), toxic[~third].sum(), (1 - toxic[~third]).sum()) == 0:
         return none
     (hashes, first), y = pick(~third)
