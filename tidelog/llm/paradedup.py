@@ -165,7 +165,8 @@ def shared_passages(df: DataFrame) -> DataFrame:
     units = common.written(unit_table(df), "units")
     shared = units.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("key")
     shared = common.written(shared, "shared")
-    hits = units.join(shared, "key").select("doc", "low", "key").distinct()
+    # repeated rows of a document stay: what follows treats them as one, and an aggregate here would keep a hot key's rows together
+    hits = units.join(shared, "key").select("doc", "low", "key")
     order = Window.partitionBy("doc").orderBy("low", "key")
     begins = F.when(F.col("low") - F.lag("low").over(order) <= SPAN, 0).otherwise(1)
     hits = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
