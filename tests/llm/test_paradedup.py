@@ -73,6 +73,23 @@ def test_passage_is_set_into_other_text_and_removed(spark):
     assert all(len(left[d].split()) <= 57 + 51 - 32 for d in range(1, 80, 2))
 
 
+def test_each_of_joined_passages_keeps_a_copy(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"j{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(10):
+        p, q = text(90), text(90)
+        bodies = (f"{text(20)} {p} {text(20)}", f"{text(15)} {q} {text(20)}", f"{text(10)} {p} {q} {text(5)}", f"{p} {q}")
+        rows += [(4 * k + j, body) for j, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paradedup.repeats(df).where("kind = 'passage'")
+    left = {r.doc_id: r.text for r in paradedup.remove(df, found).collect()}
+    assert all(left[d] == t for d, t in rows if d % 4 < 2)
+    assert all(len(left[d].split()) < 150 for d in range(2, 40, 4)) and all(len(left[d].split()) <= 2 * 16 for d in range(3, 40, 4))
+    kept, gone = ({(r.doc_id, w) for r in found.collect() if r.kept == k for w in range(r.low, r.high)} for k in (True, False))
+    assert kept and gone and not kept & gone
+
+
 def test_anchors_do_not_depend_on_neighbours():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (5, 100, 31, 400, 0, 60)]

@@ -7,7 +7,8 @@ Jaccard similarity of their sets, and what links forms components.
 A passage that is set into other text shares no paragraph, so each document is also cut by its content: of any GAP + 1
 consecutive positions the least hash of the next words is an anchor, and the SPAN words from an anchor on are a unit of their
 own with one band, the whole of it. A passage of SPAN + GAP words or more that two documents share has its first anchor
-at the same place in both and so at least one unit in common. Units that overlap merge into one passage.
+at the same place in both and so at least one unit in common. Each unit is kept where it stands first; units that touch
+merge into one passage of what is kept or of what is not.
 """
 
 from __future__ import annotations
@@ -161,7 +162,11 @@ def similar_paragraphs(df: DataFrame, spark) -> DataFrame:
 
 
 def shared_passages(df: DataFrame) -> DataFrame:
-    """doc, low, high and node (equal for passages that share units) of passages that stand in several documents."""
+    """doc, low, high, node and kept of passages that stand in several documents; node is equal where runs share units.
+
+    Each unit is kept where it stands first, by document and place, so every one keeps a copy whatever else its run holds.
+    Kept units that touch are a passage, and so are the words of other units that no kept unit of their document covers.
+    """
     units = common.written(unit_table(df), "units")
     shared = units.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("key")
     shared = common.written(shared, "shared")
@@ -172,28 +177,41 @@ def shared_passages(df: DataFrame) -> DataFrame:
     hits = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     hits = common.written(hits.select("doc", "low", "key", F.xxhash64(F.lit("run"), "doc", "run").alias("id")), "hits")
     common.release(units)
-    hubs = hits.groupBy("key").agg(F.min("id").alias("hub"))
+    hubs = hits.groupBy("key").agg(F.min("id").alias("hub"), F.min(F.struct("doc", "low")).alias("first"))
     hubs = common.written(hubs, "hubs")
-    parts = components.components(hits.select("id", "key").join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    runs = hits.groupBy("id", "doc").agg(F.min("low").alias("low"), (F.max("low") + SPAN).alias("high"))
-    return runs.join(parts, F.col("id") == F.col("node"), "left").select("doc", "low", "high", F.coalesce("component", "id").alias("node"))
+    placed = hits.join(hubs, "key").select("doc", "low", "id", "hub", (F.struct("doc", "low") == F.col("first")).alias("kept"))
+    placed = common.written(placed, "placed")
+    common.release(hits, hubs)
+    parts = components.components(placed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    held = F.when(F.col("kept"), F.col("low"))
+    order = Window.partitionBy("doc").orderBy("low")  # rows of one place are peers of a range, so each sees all of them
+    before = F.max(held).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(held).over(order.rangeBetween(Window.currentRow, SPAN))
+    start, end = F.greatest("low", before + SPAN), F.least(F.col("low") + SPAN, after)
+    spans = placed.withColumns({"start": F.when(F.col("kept"), F.col("low")).otherwise(start), "end": F.when(F.col("kept"), F.col("low") + SPAN).otherwise(end)}).where("start < end")
+    order = Window.partitionBy("doc", "kept").orderBy("start", "end")
+    begins = F.when(F.col("start") <= F.lag("end").over(order), 0).otherwise(1)
+    spans = spans.withColumn("begins", begins).withColumn("span", F.sum("begins").over(order))
+    spans = spans.groupBy("id", "doc", "kept", "span").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    return spans.join(parts, F.col("id") == F.col("node"), "left").select("doc", "low", "high", F.coalesce("component", "id").alias("node"), "kept")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, kind (paragraph or passage), low, high (words from and to), component and kept of what repeats across documents.
 
-    The first member of a component by id, then place, is kept; the others are what a dedup removes. What repeats within
-    one document only is not returned. Null and empty texts and rows with a null id have nothing that repeats; repeated
-    rows count as one document. Columns that aren't named are not read; an empty table gives an empty one.
+    Of paragraphs, the first member of a component by id, then place, is kept. Of passages, each unit is where it stands first,
+    so a component that joins several passages keeps a copy of each. What isn't kept is what a dedup removes. What repeats
+    within one document only is not returned. Null and empty texts and rows with a null id have nothing that repeats;
+    repeated rows count as one document. Columns that aren't named are not read; an empty table gives an empty one.
     """
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text")).where("doc is not null and text is not null")
-    both = similar_paragraphs(docs, spark).withColumn("kind", F.lit("paragraph")).unionByName(shared_passages(docs).withColumn("kind", F.lit("passage")))
-    both = common.written(both.distinct(), "repeats")
-    firsts = both.groupBy("kind", "node").agg(F.min(F.struct("doc", "low")).alias("first"), F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("kind", "node", "first")
-    out = both.join(firsts, ["kind", "node"])
-    return out.select(F.col("doc").alias(id_col), "kind", "low", "high", F.col("node").alias("component"), (F.struct("doc", "low") == F.col("first")).alias("kept"))
+    paras = common.written(similar_paragraphs(docs, spark).distinct(), "repeats")
+    firsts = paras.groupBy("node").agg(F.min(F.struct("doc", "low")).alias("first"), F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("node", "first")
+    paras = paras.join(firsts, "node").select("doc", "low", "high", "node", (F.struct("doc", "low") == F.col("first")).alias("kept"))
+    out = paras.withColumn("kind", F.lit("paragraph")).unionByName(shared_passages(docs).withColumn("kind", F.lit("passage")))
+    return out.select(F.col("doc").alias(id_col), "kind", "low", "high", F.col("node").alias("component"), "kept")
 
 
 def remove(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
