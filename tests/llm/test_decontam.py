@@ -62,3 +62,28 @@ def test_common_subsequence():
         item = decontam.Item(1, np.array(a, np.uint64), np.ones(decontam.BUCKETS))
         n, start, end = decontam.common_subsequence(item, b)
         assert n == best[-1][-1] and decontam.common_subsequence(item, b[start:end])[0] == n
+
+
+def test_stray_words_around_a_copy_do_not_hide_it():
+    words = list(range(100, 120))
+    item = decontam.Item(1, np.array(words, np.uint64), np.ones(decontam.BUCKETS))
+    copy = [w if k % 4 else 7 for k, w in enumerate(words)]  # 15 of 20 words, in one stretch
+    text = [*words[:1], *[5] * 20, *copy, *[6] * 20, *words[-1:]]
+    n, start, end = decontam.common_subsequence(item, text)
+    assert n == 16 and end - start > 40
+    n, answer, held = decontam.judge(item, text)
+    assert held and n >= 15 and answer >= decontam.ANSWER
+    spread = [x for w in words for x in (w, 5, 6, 5)]
+    assert not decontam.judge(item, spread)[2]
+
+
+def test_judge_tries_every_short_stretch():
+    rng = random.Random(6)
+    for _ in range(300):
+        size = rng.randint(6, 14)
+        words = [rng.randrange(20) for _ in range(size)]
+        text = [rng.choice(words) if rng.random() < 0.35 else 50 for _ in range(rng.randint(1, 60))]
+        item = decontam.Item(1, np.array(words, np.uint64), np.ones(decontam.BUCKETS))
+        parts = [text[s : s + 2 * size] for s in range(max(1, len(text) - 2 * size + 1))]
+        want = any(decontam.common_subsequence(item, p)[0] >= decontam.LCS * size and len(item.answer & set(p)) >= decontam.ANSWER * len(item.answer) for p in parts)
+        assert decontam.judge(item, text)[2] == want

@@ -8,8 +8,8 @@
    in the latent space is at least COSINE. Those around which too few of the item's words occur at all to reach step 4's
    shares, whatever their order, go at once; that drops nothing that step 4 would keep.
 4. A candidate's words around the windows are held against the item's: the longest common subsequence must cover LCS of the
-   item, within a stretch not much longer than it, and ANSWER of the item's rarest words (what its answer hangs on) must be
-   there. So reworded copies are found, and texts that only share a language or a phrase are not.
+   item, within any stretch of at most twice its length, and ANSWER of the item's rarest words (what its answer hangs on) must
+   be there. So reworded copies are found, and texts that only share a language or a phrase are not.
 """
 
 from __future__ import annotations
@@ -190,11 +190,35 @@ def common_subsequence(item: Item, text: list[int]) -> tuple[int, int, int]:
 
 
 def judge(item: Item, text: list[int]) -> tuple[int, float, bool]:
-    """LCS length, share of the answer words in the stretch, and whether the text holds the item."""
+    """LCS length, share of the answer words in the stretch, and whether some stretch of at most 2 item lengths holds the item.
+
+    Where the text's longest common subsequence is spread too far, or its stretch lacks answer words, all stretches of that
+    length are gone through. A shorter one that holds the item lies within one of these, which then holds it too.
+    """
     n, start, end = common_subsequence(item, text)
-    held = set(text[start:end])
-    answer = len(item.answer & held) / len(item.answer)
-    return n, answer, n >= LCS * len(item.words) and end - start <= 2 * len(item.words) and answer >= ANSWER
+    answer = len(item.answer & set(text[start:end])) / len(item.answer)
+    most, least = 2 * len(item.words), LCS * len(item.words)
+    if n < least or end - start <= most and answer >= ANSWER:
+        return n, answer, n >= least
+    found = (0, 0.0)
+    own = [w if w in item.where else None for w in text]
+    for s in range(max(1, len(text) - most + 1)):
+        if own[s] is None and s + most < len(text):
+            continue  # the next stretch loses none of the item's words by beginning later
+        part = own[s : s + most]
+        if len(part) - part.count(None) >= least and (share := len(item.answer.intersection(part)) / len(item.answer)) >= ANSWER:
+            found = max(found, (_length(item, part), share))
+    return (*found, True) if found[0] >= least else (n, answer, False)
+
+
+def _length(item: Item, text: list[int | None]) -> int:
+    """The length of the longest common subsequence."""
+    mask = row = (1 << len(item.words)) - 1
+    for w in text:
+        if w is not None:
+            both = row & item.where[w]
+            row = ((row + both) | (row - both)) & mask
+    return (row ^ mask).bit_count()
 
 
 def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFrame:
