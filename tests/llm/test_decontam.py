@@ -51,6 +51,23 @@ def test_paraphrases_fragments_and_cases(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_finds_items_of_a_rare_source(spark):
+    rng = random.Random(3)
+    usual, rare = [f"u{i}" for i in range(2000)], [f"r{i}" for i in range(400)]
+    pick = lambda words, n: [words[min(int(rng.paretovariate(0.7)), len(words)) - 1] for _ in range(n)]
+    rows = [(k, " ".join(pick(usual, 60))) for k in range(30_000)]  # several times the documents of the former sample
+    items, want = [], set()
+    for k in range(20):
+        words = [rng.choice(rare) for _ in range(14 + k)]
+        items.append((k, " ".join(words)))
+        rows.append((100_000 + k, " ".join([*pick(usual, 33), *words, *pick(usual, 30)])))
+        want.add((100_000 + k, k))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    assert all(-1 <= r.cosine <= 1.001 for r in rows)
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):

@@ -2,10 +2,10 @@
 
 1. Words are hashed to BUCKETS and counted over passages of all documents, which gives their inverse document frequency.
 2. A randomised SVD of TF-IDF passages gives the latent space: the range of A'A applied to a random matrix, each partition
-   adding up its passages' part. As the index of a search, it is fitted on the passages of at most about FIT_ROWS documents;
-   all passages are projected.
+   adding up its passages' part. It is fitted on all passages, so a word of any source has its place in it.
 3. Windows of every document, of sizes that fit the items and a few words apart, are candidates for the items whose cosine
-   in the latent space is at least COSINE. Those around which too few of the item's words occur at all to reach step 4's
+   in the latent space is at least COSINE. So are the places that share GRAM consecutive words with an item, whatever their
+   cosine: words too rare to weigh in the leading directions hide no verbatim passage. Those around which too few of the item's words occur at all to reach step 4's
    shares, whatever their order, go at once; that drops nothing that step 4 would keep.
 4. A candidate's words around the windows are held against the item's: the longest common subsequence must cover LCS of the
    item, within any stretch of at most twice its length, and ANSWER of the item's rarest words (what its answer hangs on) must
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import common, words
 
 BUCKETS, RANK = 1 << 15, 64
-FIT_ROWS = 8_000
+#: Passages of a task when the latent space is fitted.
+FIT_PASSAGES = 100_000
 #: Words of a passage, of a block of which windows are made, and of windows.
 PASSAGE, STEP, WINDOWS = 64, 8, (16, 24, 32, 40, 48, 56, 64)
 COSINE, LCS, ANSWER = 0.55, 0.6, 0.5
@@ -33,6 +34,8 @@ LEAST_WORDS = 6
 MOST_ITEMS = 20_000
 #: Words of a document that are projected at once.
 PART = 1 << 18
+#: Consecutive words, packed into 64 bits by their buckets, that make a place a candidate.
+GRAM = 4
 
 
 def hashes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -97,28 +100,22 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def latent_space(tokens: DataFrame, idf: np.ndarray, fit_rows: int = FIT_ROWS) -> np.ndarray:
+def latent_space(tokens: DataFrame, idf: np.ndarray, passages: int) -> np.ndarray:
     """RANK columns: the leading right singular vectors of the TF-IDF passages, each by its singular value.
 
     Division by the singular values lets no direction that all texts of a language share outweigh the others.
     """
-    total = tokens.count()
-    share = int(min(1.0, fit_rows / max(1, total)) * (1 << 30))
-    sample = tokens.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < share)
-    if sample.limit(1).isEmpty():
-        sample = tokens
-    sample = common.written(sample.repartition(8), "fit")
-    q, _ = np.linalg.qr(_gram(sample, idf, np.random.default_rng(11).normal(size=(BUCKETS, RANK + 8))))
-    values, vectors = np.linalg.eigh(q.T @ _gram(sample, idf, q))
-    common.release(sample)
+    parts = tokens.coalesce(max(8, passages // FIT_PASSAGES))  # each gives a matrix
+    q, _ = np.linalg.qr(_gram(parts, idf, np.random.default_rng(11).normal(size=(BUCKETS, RANK + 8))))
+    values, vectors = np.linalg.eigh(q.T @ _gram(parts, idf, q))
     order = np.argsort(-values)[:RANK]
     used = values[order] > 1e-9 * max(values.max(), 1e-300)
     return np.where(used, (q @ vectors[:, order]) / np.sqrt(np.where(used, values[order], 1)), 0)
 
 
-def _gram(sample: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+def _gram(tokens: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """A'A times a matrix, A being the TF-IDF rows of all passages, each of unit length."""
-    kept = sample.sparkSession.sparkContext.broadcast((idf, matrix.astype(np.float32)))
+    kept = tokens.sparkSession.sparkContext.broadcast((idf, matrix.astype(np.float32)))
     width = matrix.shape[1]
 
     def run(batches) -> Iterator:
@@ -148,13 +145,21 @@ def _gram(sample: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
         total = sum(np.frombuffer(z, np.float32).astype(np.float64) for z in table.column("z").to_pylist())
         return pa.table({"at": table.column("at").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
-    rows = sample.mapInArrow(run, "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow()
+    rows = tokens.mapInArrow(run, "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow()
     z = np.zeros((BUCKETS, width))
     for at, part in zip(rows.column("at").to_pylist(), rows.column("z").to_pylist(), strict=True):
         z[at : at + 512] = np.frombuffer(part).reshape(512, width)
     return z
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The GRAM buckets from each place on as one number."""
+    out = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = out << np.uint64(16) | data[k : k + len(out)].astype(np.uint64)
+    return out
+
+
 class Item:
     def __init__(self, item_id: int, h: np.ndarray, idf: np.ndarray):
         self.id, self.words = item_id, h
@@ -237,6 +242,13 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
     classes = {w: (np.array(rows, np.float32)[of == w].T.copy(), np.array(owner)[of == w]) for w in WINDOWS if (of == w).any()}
     kept = spark.sparkContext.broadcast((np.vstack([latent, np.zeros((1, RANK))]).astype(np.float32), classes))
     own = [buckets(i.words).astype(np.int64) for i in items]
+    listed = [grams(x) for x in own]
+    gram, holder = np.concatenate(listed), np.repeat(np.arange(len(items)), [len(x) for x in listed])
+    place = np.concatenate([np.arange(len(x)) for x in listed])
+    order = np.argsort(gram, kind="stable")
+    seen = np.zeros(1 << 22, bool)
+    seen[common.mix(gram) >> np.uint64(42)] = True
+    shared = spark.sparkContext.broadcast((gram[order], holder[order], place[order], seen))
     answers = [buckets(np.fromiter(i.answer, np.uint64)).astype(np.int64) for i in items]
     rare = np.full((len(items), max(map(len, answers))), BUCKETS)
     for k, x in enumerate(answers):
@@ -277,6 +289,27 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
                     cosine = np.einsum("ij,ij->i", x[i], vectors[:, j].T)
                     yield at[s + i], owners[j], within[s + i] * STEP, within[s + i] * STEP + w, cosine
 
+    def same(data: np.ndarray, first: np.ndarray):
+        """As hits, of places that share words with an item; low and high are where the whole item would lie, cosine is -2."""
+        gram, holder, place, seen = shared.value
+        own = parts.value[0]
+        text = grams(data)
+        at = np.flatnonzero(seen[common.mix(text) >> np.uint64(42)])
+        row = np.searchsorted(first, at, side="right") - 1
+        at, row = (x[at + GRAM <= first[row + 1]] for x in (at, row))
+        left, right = (np.searchsorted(gram, text[at], side=x) for x in ("left", "right"))
+        total = np.cumsum(right - left)
+        for s in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
+            k = np.arange(s, min(s + (1 << 20), int(total[-1])))
+            i = np.searchsorted(total, k, side="right")
+            to = left[i] + k - (total[i] - (right - left)[i])
+            r, item = row[i], holder[to]
+            low = at[i] - first[r] - place[to]
+            high = np.minimum(low + np.array([len(own[x]) for x in item.tolist()], np.int64), (first[r + 1] - first[r]))
+            low = np.maximum(low, 0)
+            _, once = np.unique(np.stack([r, item, low], 1), axis=0, return_index=True)
+            yield r[once], item[once], low[once], high[once], np.full(len(once), -2.0)
+
     def stretches(found, data: np.ndarray, first: np.ndarray):
         """The windows of a document and an item that touch, as one; without those that can't hold enough of the item."""
         row, item, low, high, cosine = (np.concatenate([f[i] for f in found]) for i in range(5))
@@ -301,6 +334,9 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
                 held[around] = True
                 keep[k] = held[own[i]].sum() >= LCS * len(own[i]) and held[rare[i]].sum() >= least[i]
                 held[around] = False
+                if keep[k] and cosine[k] < -1:
+                    x, y = (kept.value[0][w].sum(axis=0) for w in (text[low[k] : high[k]], own[i]))
+                    cosine[k] = x @ y / max(float(np.linalg.norm(x) * np.linalg.norm(y)), 1e-9)
         return row[keep], item[keep], low[keep], high[keep], cosine[keep]
 
     def run(batches) -> Iterator:
@@ -309,11 +345,12 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
         for ids, data, first in _documents(batches):
             found = []
             if len(data) <= PART:
-                found = list(hits(data, first))
+                found = [*hits(data, first), *same(data, first)]
             else:  # a single long document
                 for s in range(0, len(data), PART - PASSAGE):
                     piece = data[s : s + PART]
                     found += [(r, k, lo + s, hi + s, c) for r, k, lo, hi, c in hits(piece, np.array([0, len(piece)]))]
+                found += same(data, first)
             if found:
                 r, k, lo, hi, c = stretches(found, data, first)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(k, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(c, pa.float64())], ["id", "item", "low", "high", "cosine"])
@@ -336,7 +373,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     tokens = common.written(token_table(docs), "tokens")
     counts, passages = frequencies(tokens)
     idf = np.log((1.0 + passages) / (1.0 + counts))
-    latent = (latent_space(tokens, idf) * idf[:, None]) if passages else np.zeros((BUCKETS, RANK))
+    latent = (latent_space(tokens, idf, passages) * idf[:, None]) if passages else np.zeros((BUCKETS, RANK))
     out = None
     for k in range(rounds):
         block = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).orderBy("item_id", "text").toArrow()
