@@ -65,3 +65,20 @@ def test_cases(spark):
     want = [(None, 0, None, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *((i, 0, i, True) for i in range(3, 11))]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert ct.threshold_links(df.limit(0)).count() == 0
+
+
+def test_each_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(ct, "LEAST_CHUNK", 100)
+    monkeypatch.setattr(ct, "MOST_CHUNK", 100)
+    rng = np.random.default_rng(9)
+    parts, at = [(clouds(rng, n, d), n) for n, d in ((500, 12), (400, 7), (30, 3), (2, 1))], 0
+    parts[-1] = np.array([[2.0], [3.0]]), 2
+    rows, want = [], {}
+    for x, n in parts:
+        ids = list(range(at, at + n))
+        at += n
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+        want |= wanted(ids, x)
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ct.threshold_links(df).collect()}
+    assert got == want and all(want[i][0] for i in (at - 1, at - 2))

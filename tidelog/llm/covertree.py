@@ -1,6 +1,7 @@
 """Embedding near-duplicates: exact threshold links by a dual traversal of cover trees.
 
-On unit vectors cosine >= t is distance <= sqrt(2 - 2 t). Every vector goes to the nearest of a bounded number of pivots, so
+On unit vectors cosine >= t is distance <= sqrt(2 - 2 t). Every vector goes to the nearest of a bounded number of pivots of
+its own length, so
 a pivot's cell is a node at the top of the tree; cells of more than a chunk of rows are split by a hash. Below, each chunk
 builds its own levels: nets whose radii halve, each node's centre being a member, with the true covering radius. Pairs of
 cells, then of nodes, whose centres lie further apart than both covering radii and the threshold are dropped; pairs that lie
@@ -241,9 +242,8 @@ def _matrix(column) -> np.ndarray:
 def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The id, n_links, component_id and kept of each row of df.
 
-    Two rows link if the cosine of their vectors, in doubles, is at least threshold. A null vector, one with a null or
-    non-finite component, one of zeros and one of another length than most have link with nothing: 0 links, their own id
-    as component. So do rows with a null id, whose component is null and kept false. Rows with equal vectors collapse to
+    Two rows link if their vectors have one length and a cosine, in doubles, of at least threshold. A null vector, one with a
+    null or non-finite component and one of zeros link with nothing: 0 links, their own id as component. So do rows with a null id, whose component is null and kept false. Rows with equal vectors collapse to
     one that counts as many times; so repeated rows link with each other. Columns that aren't named are not read; an empty
     table gives an empty one.
     """
@@ -253,44 +253,61 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     fit = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False)) & F.col("id").isNotNull()
     rows = rows.withColumn("size", F.when(fit, F.size("v")))
     rows = rows.withColumns({"k1": F.when(fit, F.xxhash64("v")), "k2": F.when(fit, F.xxhash64(F.lit(7), "v"))})
-    usual = rows.where("size is not null").groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    if usual is None:
+    usable = rows.where("size is not null")
+    classes = common.written(usable.groupBy("size", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    lengths = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()}
+    if not lengths:
+        common.release(classes)
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    usable = rows.where(F.col("size") == usual["size"])
-    classes = common.written(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    total = classes.count()
+    total = sum(lengths.values())
     chunk = min(MOST_CHUNK, max(LEAST_CHUNK, -(-total // 8)))
-    reps = usable.join(classes.select("rep", "weight", F.col("k1").alias("c1"), F.col("k2").alias("c2")), (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    reps = reps.dropDuplicates(["rep", "k1", "k2"]).select("rep", "weight", "v")
+    reps = usable.join(classes.select("rep", "weight", F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("size").alias("c3")), (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("c3")))
+    reps = reps.dropDuplicates(["rep", "k1", "k2", "size"]).select("rep", "weight", "v")
     share = min(1.0, SAMPLE_ROWS / total)
     sample = reps.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(4 * SAMPLE_ROWS).toArrow()
     if not sample.num_rows:
         sample = reps.select("v").limit(1).toArrow()
-    vectors = np.array(sample.column(0).combine_chunks().flatten()).reshape(sample.num_rows, -1)
-    tops = pivots(unit(vectors), min(MOST_PIVOTS, max(1, total // chunk)))
+    by: dict[int, list] = {}
+    for v in sample.column(0).to_pylist():
+        by.setdefault(len(v), []).append(v)
+    tops, after = {}, 0  # by length: the number of its first cell, and its pivots; any unit vector will do as one
+    for size, n in lengths.items():
+        found = unit(np.array(by[size], np.float64)) if size in by else np.eye(1, size)
+        tops[size] = after, pivots(found, min(MOST_PIVOTS, max(1, n // chunk)))
+        after += len(tops[size][1])
     kept = spark.sparkContext.broadcast(tops)
 
     def assign(batches) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                x = np.array(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1)
-                cosine = unit(x) @ kept.value.T
-                cell = cosine.argmax(axis=1)
-                far = np.sqrt(np.maximum(0, 2 - 2 * cosine[np.arange(len(x)), cell]))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell, pa.int32()), pa.array(far)], ["rep", "weight", "x", "cell", "far"])
+                mixed = batch.slice(start, 4096)
+                width = pc.list_value_length(mixed.column("v")).to_numpy()
+                for size in np.unique(width).tolist():
+                    part = mixed.filter(pa.array(width == size))
+                    x = np.array(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1)
+                    base, pivot = kept.value[size]
+                    cosine = unit(x) @ pivot.T
+                    cell = cosine.argmax(axis=1)
+                    far = np.sqrt(np.maximum(0, 2 - 2 * cosine[np.arange(len(x)), cell]))
+                    cell += base
+                    yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell, pa.int32()), pa.array(far)], ["rep", "weight", "x", "cell", "far"])
 
     cells = common.written(reps.mapInArrow(assign, "rep long, weight long, x binary, cell int, far double"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot
-    count, far = np.zeros(len(tops), np.int64), np.full(len(tops), -np.inf)
+    count, far = np.zeros(after, np.int64), np.full(after, -np.inf)
     for r in sizes:
         count[r["cell"]], far[r["cell"]] = -(-r["n"] // chunk), r["far"]
     base = np.concatenate([[0], np.cumsum(count)])
-    apart = np.sqrt(np.maximum(0, 2 - 2 * tops @ tops.T))
     reach = np.sqrt(max(0.0, 2 - 2 * threshold))
-    partners = [np.concatenate([np.arange(base[j], base[j + 1]) for j in np.flatnonzero((apart[i] <= far[i] + far + reach + SLACK) & (count > 0))] or [np.zeros(0, np.int64)]) for i in range(len(tops))]
+    partners = []
+    for first, pivot in tops.values():
+        apart, own = np.sqrt(np.maximum(0, 2 - 2 * pivot @ pivot.T)), slice(first, first + len(pivot))
+        for i in range(len(pivot)):
+            near = first + np.flatnonzero((apart[i] <= far[first + i] + far[own] + reach + SLACK) & (count[own] > 0))
+            partners.append(np.concatenate([np.arange(base[j], base[j + 1]) for j in near] or [np.zeros(0, np.int64)]))
     plan = spark.sparkContext.broadcast(partners)  # chunk numbers by cell
     number = F.element_at(F.array(*[F.lit(int(c)) for c in count]), F.col("cell") + 1)
     first = F.element_at(F.array(*[F.lit(int(b)) for b in base[:-1]]), F.col("cell") + 1)
@@ -352,8 +369,8 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     parts = components.components(met.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     common.release(cells, trees)
     linked = met.groupBy("id").agg(F.sum("n").alias("n")).join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias("rep"), "n", "component")
-    found = classes.join(linked, "rep", "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.withColumns({k: F.when(F.col("size") == usual["size"], F.col(k)) for k in ("k1", "k2")}).join(found, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    found = classes.join(linked, "rep", "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("size").alias("c3"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    out = rows.join(found, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("c3")), "left")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
