@@ -267,6 +267,6 @@ def encode_decode(df: DataFrame, tokens: list[bytes], pattern: str, id_col: str
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     pair = "string" if digests else "array<int>"
-    out = source.mapInArrow(run, f"id {kind}, n_tokens long, ids {pair}, decoded {'string' if digests else 'binary'}")
+    out = source.mapInArrow(common.lean(run), f"id {kind}, n_tokens long, ids {pair}, decoded {'string' if digests else 'binary'}")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return out.toDF(id_col, "n_tokens", *names)

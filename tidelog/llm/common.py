@@ -110,6 +110,29 @@ def pieces(column, max_bytes: int = 2_000_000):
         start = end
 
 
+def lean(run):
+    """A function for mapInArrow that gives unused memory back when a task ends, as a worker that waits for more would keep it."""
+
+    def out(batches):
+        yield from run(batches)
+        tidy()
+
+    return out
+
+
+def tidy() -> None:
+    """Give memory that this process no longer uses back to the system, where its allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), for unsigned 64-bit arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

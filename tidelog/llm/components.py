@@ -62,7 +62,7 @@ def _done(edges: DataFrame) -> bool:
 def _reduced(edges: DataFrame) -> tuple[DataFrame, bool]:
     """The stars of each block of a written table, in its place, and whether there was one block only."""
     blocks = max(1, -(-edges.count() // BLOCK))
-    out = common.written(edges.coalesce(blocks).mapInArrow(_forest, "u long, v long"), "stars")
+    out = common.written(edges.coalesce(blocks).mapInArrow(common.lean(_forest), "u long, v long"), "stars")
     common.release(edges)
     return out, blocks == 1
 

@@ -295,7 +295,7 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
                     cell += base
                     yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell, pa.int32()), pa.array(far)], ["rep", "weight", "x", "cell", "far"])
 
-    cells = common.written(reps.mapInArrow(assign, "rep long, weight long, x binary, cell int, far double"), "cells")
+    cells = common.written(reps.mapInArrow(common.lean(assign), "rep long, weight long, x binary, cell int, far double"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot
     count, far = np.zeros(after, np.int64), np.full(after, -np.inf)
     for r in sizes:
@@ -364,7 +364,7 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"id": cat(out_ids), "n": cat(out_n), "low": cat(out_low)})
 
-    met = trees.mapInArrow(deal, "p int, q int, rep long, weight long, x binary, chunk int, at int, up binary").groupBy("p", "q").applyInArrow(meet, "id long, n long, low long")
+    met = trees.mapInArrow(common.lean(deal), "p int, q int, rep long, weight long, x binary, chunk int, at int, up binary").groupBy("p", "q").applyInArrow(meet, "id long, n long, low long")
     met = common.written(met, "met")
     parts = components.components(met.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     common.release(cells, trees)

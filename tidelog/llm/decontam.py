@@ -59,7 +59,7 @@ def token_table(df: DataFrame) -> DataFrame:
                 tokens = pa.Array.from_buffers(pa.binary(), end - start, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), tokens], ["id", "tokens"])
 
-    return df.mapInArrow(run, "id long, tokens binary")
+    return df.mapInArrow(common.lean(run), "id long, tokens binary")
 
 
 def _documents(batches, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,7 +94,7 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at])], ["bucket", "n"])
 
-    rows = tokens.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.mapInArrow(common.lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS + 1, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out[:BUCKETS], int(out[BUCKETS])
@@ -145,7 +145,7 @@ def _gram(tokens: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
         total = sum(np.frombuffer(z, np.float32).astype(np.float64) for z in table.column("z").to_pylist())
         return pa.table({"at": table.column("at").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
 
-    rows = tokens.mapInArrow(run, "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow()
+    rows = tokens.mapInArrow(common.lean(run), "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow()
     z = np.zeros((BUCKETS, width))
     for at, part in zip(rows.column("at").to_pylist(), rows.column("z").to_pylist(), strict=True):
         z[at : at + 512] = np.frombuffer(part).reshape(512, width)
@@ -355,7 +355,7 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
                 r, k, lo, hi, c = stretches(found, data, first)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(k, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(c, pa.float64())], ["id", "item", "low", "high", "cosine"])
 
-    return tokens.mapInArrow(run, "id long, item int, low int, high int, cosine double")
+    return tokens.mapInArrow(common.lean(run), "id long, item int, low int, high int, cosine double")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -421,4 +421,4 @@ def _confirm(docs: DataFrame, candidates: DataFrame | None, items: list[Item]) -
                 columns = zip(*rows, strict=True) if rows else [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
-    return docs.join(listed, "id").select("id", "text", "found").mapInArrow(run, _FOUND)
+    return docs.join(listed, "id").select("id", "text", "found").mapInArrow(common.lean(run), _FOUND)

@@ -99,7 +99,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     share = int(min(1.0, train_rows / total) * (1 << 30))
     sample = df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
     sample = sample if sample.select("id").limit(1).count() else df
-    counts = sample.select("label", "text").repartition(8).mapInArrow(_count, "label string, bucket int, n long")
+    counts = sample.select("label", "text").repartition(8).mapInArrow(common.lean(_count), "label string, bucket int, n long")
     rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("label").to_pylist()))
     where = {x: i for i, x in enumerate(names)}
@@ -178,4 +178,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(columns, [*rest, "lang_pred", "score"])
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest) + ", lang_pred string, score double"
-    return df.mapInArrow(run, schema).toDF(id_col, *keep, "lang_pred", "score")
+    return df.mapInArrow(common.lean(run), schema).toDF(id_col, *keep, "lang_pred", "score")

@@ -1,10 +1,10 @@
-"""Line dedup by winnowing, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 A run of WINDOW or more lines that stood earlier, in a document with a smaller id or further up, is deleted. Of each window of
-WINDOW consecutive lines the least line hash is its fingerprint. Equal windows choose the same fingerprint at the same place,
-so a run that repeats is sure to share one: windows whose fingerprint was chosen at one position only are let go. For the
-others, the match at the fingerprint is extended both ways to the whole window, whose 128-bit key must be equal; windows
-that aren't the first with their key are repeats, and those that overlap merge into the runs that are deleted.
+WINDOW consecutive lines the last least hash is chosen, and only chosen positions become rows: about half of all lines. Equal
+windows choose the same place, so a run that repeats is sure to share a fingerprint. Fingerprints chosen at one position only
+go; at the others the match is extended both ways, to the lines on either side that a window with this choice holds, and
+windows that aren't the first with their lines are repeats. Those that overlap merge into the runs that are deleted.
 """
 
 from __future__ import annotations
@@ -22,38 +22,51 @@ def _split(text: str) -> F.Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def windows(df: DataFrame, window: int) -> DataFrame:
-    """doc, hash (of the text), i, low and high (lines from and to), at and mark (fingerprint), k1 and k2 of each window."""
-    filled = df.withColumn("lines", _split("text")).withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != ""))
-    filled = filled.where(F.size("full") >= window)
-    filled = filled.withColumn("h1", F.transform("full", lambda i: F.xxhash64(F.trim(F.get("lines", i)))))
-    filled = filled.withColumn("h2", F.transform("full", lambda i: F.xxhash64(F.lit(7), F.trim(F.get("lines", i)))))
-    part = lambda c, i: F.slice(c, i + 1, window)
+def fingerprints(df: DataFrame, window: int) -> DataFrame:
+    """doc, hash (of the text), at (place among the lines that aren't blank), mark (line hash) and begins of each chosen position.
 
-    def one(i):
-        least = F.array_min(part("h1", i))
-        return F.struct(
-            i.alias("i"), F.get("full", i).alias("low"), F.get("full", i + (window - 1)).alias("high"), (i + F.array_position(part("h1", i), least)).alias("at"),
-            least.alias("mark"), F.xxhash64(part("h1", i)).alias("k1"), F.xxhash64(part("h2", i)).alias("k2"),
-        )
-
-    return filled.select("doc", "hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("full") - window), one)).alias("w")).select("doc", "hash", "w.*")
+    begins has an entry for each window of lines: its hashes if the window chose this position, else null. The first one ends here.
+    """
+    hashes = F.transform(F.filter(F.transform(_split("text"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))
+    near = range(1 - window, window)
+    name = lambda k: f"h{k + window}"
+    one = lambda i: F.struct(i.alias("at"), *[F.get("hashes", i + k).alias(name(k)) for k in near])
+    rows = df.withColumn("hashes", hashes).where(F.size("hashes") >= window)
+    rows = rows.select("doc", "hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("hashes") - 1), one)).alias("p")).select("doc", "hash", "p.*")
+    mark = F.col(name(0))
+    chosen = []
+    for first in near[:window]:
+        test = F.lit(True)
+        for k in range(first, first + window):
+            side = F.col(name(k))
+            test = test & (side.isNotNull() if k == 0 else side >= mark if k < 0 else side > mark)
+        chosen.append(F.when(test, F.struct(*[F.col(name(k)).alias(f"k{k - first}") for k in range(first, first + window)])))
+    rows = rows.select("doc", "hash", "at", mark.alias("mark"), *[c.alias(f"w{k}") for k, c in enumerate(chosen)])
+    return rows.where(F.coalesce(*[F.col(f"w{k}") for k in range(window)]).isNotNull())
 
 
 def repeated_runs(df: DataFrame, window: int) -> DataFrame:
-    """doc, hash and the sorted runs (low, high: lines from and to) that repeat earlier lines."""
-    every = common.written(windows(df, window), "windows")
+    """doc, hash and the sorted runs (low, high: places from and to among the lines that aren't blank) that repeat earlier lines."""
+    every = common.written(fingerprints(df, window), "fingerprints")
     place = F.xxhash64("doc", "hash", "at")
-    marks = every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
-    held = every.join(marks, "mark", "left_semi")
+    # written, like what follows, so that joins are those of two plain shuffles, which can be split where a key is hot
+    marks = common.written(every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark"), "marks")
+    begins = F.array(*[F.struct((F.col("at") - (window - 1 - k)).alias("i"), F.col(f"w{k}").alias("w")) for k in range(window)])
+    held = every.join(marks, "mark", "left_semi").select("doc", "hash", F.inline(F.filter(begins, lambda x: x["w"].isNotNull())))
+    held = common.written(held.select("doc", "hash", "i", "w.*"), "held")
+    common.release(every, marks)
+    key = [f"k{k}" for k in range(window)]
     where = F.struct(F.col("doc"), F.col("hash"), F.col("i"))
-    firsts = held.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2", "first")
-    later = held.join(firsts, ["k1", "k2"]).where(where > F.col("first")).select("doc", "hash", "i", "low", "high")
+    firsts = held.groupBy(*key).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select(*key, "first")
+    firsts = common.written(firsts, "firsts")
+    later = held.join(firsts, key).where(where > F.col("first")).select("doc", "hash", "i")
     order = Window.partitionBy("doc", "hash").orderBy("i")
     begins = F.when(F.col("i") - F.lag("i").over(order) < window, 0).otherwise(1)
     runs = later.distinct().withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
-    runs = runs.groupBy("doc", "hash", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return runs.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    runs = runs.groupBy("doc", "hash", "run").agg(F.min("i").alias("low"), (F.max("i") + (window - 1)).alias("high"))
+    runs = common.written(runs.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs")), "runs")
+    common.release(held, firsts)
+    return runs
 
 
 def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,18 +74,22 @@ def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
 
     Lines count as equal if they are so without spaces at their ends; lines of spaces only are passed over when lines are
     compared, and go where they stand within a deleted run. The first occurrence by id, then line, stays; a null id comes
-    before all others. Rows with one id and text count as one document, so they repeat nothing of each other. A null text
-    stays null, with no lines; an empty text is one line. Other columns are passed on, and may have any name but the four
+    before all others. Rows with one id and text count as one document, so they repeat nothing of each other. Documents of
+    fewer than window lines that aren't blank, and repeats of fewer lines, are left alone. A null text
+    stays null, with no lines; an empty text is one line. Other columns are passed on, and may have any name but those
     that start with two underscores here; an n_lines or n_removed of df's own is replaced. An empty table stays empty.
     """
     named = df.drop("n_lines", "n_removed").withColumn("__doc", F.col(id_col)).withColumn("__hash", F.xxhash64(text_col))
     runs = repeated_runs(named.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), F.col(text_col).alias("text")), window)
-    runs = runs.select(F.col("doc").alias("__of"), F.col("hash").alias("__to"), F.col("runs").alias("__runs"))
+    runs = runs.select(F.col("doc").alias("__of"), F.col("hash").alias("__to"), F.col("runs").alias("__places"))
     joined = named.join(runs, F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__to")), "left")
-    lines, size = _split(text_col), F.size(_split(text_col))
+    joined = joined.withColumn("__lines", F.when(F.col(text_col).isNotNull(), _split(text_col)))
+    joined = joined.withColumn("__full", F.when(F.col("__places").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.trim(F.get("__lines", i)) != "")))
+    joined = joined.withColumn("__runs", F.transform("__places", lambda r: F.struct(F.get("__full", r["low"]).alias("low"), F.get("__full", r["high"]).alias("high"))))
+    size = F.coalesce(F.size("__lines"), F.lit(0))
     end = lambda k: F.when(k == 0, 0).otherwise(F.get("__runs", k - 1)["high"] + 1)
     start = lambda k: F.when(k == F.size("__runs"), size).otherwise(F.get("__runs", k)["low"])
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda k: F.slice(lines, end(k) + 1, start(k) - end(k))))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda k: F.slice("__lines", end(k) + 1, start(k) - end(k))))
     removed = F.aggregate("__runs", F.lit(0), lambda n, r: n + (r["high"] - r["low"] + 1))
     has = F.col("__runs").isNotNull()
     columns = [F.when(has, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in named.columns if not c.startswith("__")]

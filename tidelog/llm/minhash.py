@@ -60,7 +60,7 @@ def sets_table(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "sig", "b1", "b2"])
 
     source = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    return source.mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary, b1 long, b2 long")
+    return source.mapInArrow(common.lean(run), "id long, n long, s1 long, s2 long, sig binary, b1 long, b2 long")
 
 
 def _labels(batches) -> Iterator:
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
+    return full.select("a", "b", "ta", "tb").mapInArrow(common.lean(run), "a long, b long, linked boolean")
 
 
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,9 +185,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     classes = common.written(classes.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
     chosen = classes.where("id = rep and n > 0").select("rep").distinct()
     reps = sets.join(chosen, sets["id"] == chosen["rep"]).select("rep", "sig", "b1", "b2").dropDuplicates(["rep", "b1", "b2"])
-    labels = common.written(reps.mapInArrow(_labels, "label binary, rep long, b1 long, b2 long"), "labels")
+    labels = common.written(reps.mapInArrow(common.lean(_labels), "label binary, rep long, b1 long, b2 long"), "labels")
     ordered = labels.repartitionByRange(common.partitions(spark), "label", "rep").sortWithinPartitions("label", "rep")
-    found = common.written(ordered.mapInArrow(_neighbours, "a long, b long, rank long"), "neighbours")
+    found = common.written(ordered.mapInArrow(common.lean(_neighbours), "a long, b long, rank long"), "neighbours")
     common.release(sets, labels, least)
 
     candidates = common.written(found.where("rank >= 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates")

@@ -70,7 +70,7 @@ def paragraph_table(df: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "low", "high", "n", "s1", "s2", "bands"])
 
-    return df.mapInArrow(run, "doc long, low int, high int, n long, s1 long, s2 long, bands array<long>")
+    return df.mapInArrow(common.lean(run), "doc long, low int, high int, n long, s1 long, s2 long, bands array<long>")
 
 
 def _slide(x: np.ndarray, size: int, fold) -> np.ndarray:
@@ -117,7 +117,7 @@ def unit_table(df: DataFrame) -> DataFrame:
                 docs = batch.column(0).slice(start, stop - start).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(docs[row].astype(np.int64)), pa.array((at - first[row]).astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "low", "key"])
 
-    return df.mapInArrow(run, "doc long, low int, key long")
+    return df.mapInArrow(common.lean(run), "doc long, low int, key long")
 
 
 def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
                 w, parts = find(text.as_py()), parts.as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in parts], pa.int64()), pa.array([" ".join(w[p["low"] : p["high"]]) for p in parts], pa.string())], ["id", "text"])
 
-    return df.join(listed, "doc").select("text", "parts").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+    return df.join(listed, "doc").select("text", "parts").mapInArrow(common.lean(run), "id long, text string").dropDuplicates(["id"])
 
 
 def similar_paragraphs(df: DataFrame, spark) -> DataFrame:

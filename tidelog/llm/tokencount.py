@@ -137,4 +137,4 @@ def count_tokens(df: DataFrame, tokens: list[bytes], pattern: str, id_col: str =
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_words long, n_tokens long").toDF(id_col, "n_words", "n_tokens")
+    return source.mapInArrow(common.lean(run), f"id {kind}, n_words long, n_tokens long").toDF(id_col, "n_words", "n_tokens")

@@ -265,4 +265,4 @@ def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, [*rest, "score", "predicted", "spans"])
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest) + ", score double, predicted int, spans array<struct<start:int,end:int,score:double>>"
-    return df.mapInArrow(run, schema).toDF(id_col, *keep, "score", "predicted", "spans")
+    return df.mapInArrow(common.lean(run), schema).toDF(id_col, *keep, "score", "predicted", "spans")

@@ -167,7 +167,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     large = F.octet_length("payload") >= least
     firsts = rows.where(large).groupBy(F.col("digest").alias("same")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
     rows = rows.join(firsts, large & (F.col("digest") == F.col("same")), "left")
-    values = rows.select("id", "url", "payload", "digest", "first").mapInArrow(run, "value string")
+    values = rows.select("id", "url", "payload", "digest", "first").mapInArrow(common.lean(run), "value string")
     values.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 8000).text(path)
 
 
@@ -224,10 +224,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "type", "uri", "refers_to")), pa.array(payloads, pa.binary()), pa.array(digests, pa.string()), pa.array(intact)], ["id", "record_type", "target_uri", "refers_to", "payload", "payload_digest", "intact"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    rows = files.mapInArrow(split, "origin string, number long, total long, id long, type string, uri string, refers_to long, digest string, block binary")
+    rows = files.mapInArrow(common.lean(split), "origin string, number long, total long, id long, type string, uri string, refers_to long, digest string, block binary")
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
     whole = rows.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("segments"), *map(first, ("id", "type", "uri", "refers_to", "digest")))
-    return whole.select("segments", "id", "type", "uri", "refers_to", "digest").mapInArrow(join, "id long, record_type string, target_uri string, refers_to long, payload binary, payload_digest string, intact boolean")
+    return whole.select("segments", "id", "type", "uri", "refers_to", "digest").mapInArrow(common.lean(join), "id long, record_type string, target_uri string, refers_to long, payload binary, payload_digest string, intact boolean")
 
 
 ORACLE = f"""
