@@ -104,3 +104,52 @@ def test_judge_tries_every_short_stretch():
         parts = [text[s : s + 2 * size] for s in range(max(1, len(text) - 2 * size + 1))]
         want = any(decontam.common_subsequence(item, p)[0] >= decontam.LCS * size and len(item.answer & set(p)) >= decontam.ANSWER * len(item.answer) for p in parts)
         assert decontam.judge(item, text)[2] == want
+
+
+def test_short_and_very_long_items(spark):
+    rng = random.Random(9)
+    vocab = [f"word{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    long = text(60_000)
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "gamma delta epsilon"), (4, "one two three four five"), (5, long)]
+    changed = [w if i % 7 else "other" for i, w in enumerate(long.split())]
+    rows = [
+        (1, f"{text(20)} Alpha, beta {text(20)}"), (2, f"{text(20)} beta alpha {text(20)}"), (3, "gamma delta epsilon"), (4, "gamma delta x epsilon"),
+        (5, f"{text(30)} one two three four five {text(9)}"), (6, f"one two three four {text(9)} five"), (7, long), (8, " ".join(changed)), (9, " ".join(changed[:20_000])),
+    ]
+    rows += [(1000 + i, text(300)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (3, 3), (5, 4), (7, 5), (8, 5)}
+    assert got[7, 5].lcs == 60_000 and 0.85 <= got[8, 5].lcs_share <= 0.87
+
+
+def test_recall_against_the_rule_on_all_pairs(spark):
+    """Documents and items for which judge() holds, over all pairs and without any candidate search."""
+    rng = random.Random(12)
+    usual = [f"w{i}" for i in range(2500)]
+    pick = lambda n: [rng.choice(usual[:30] if rng.random() < 0.3 else usual) for _ in range(n)]
+    items = [(k, pick(rng.randint(12, 45))) for k in range(40)]
+    docs = {}
+    for k, words in items:
+        for j, share in enumerate((0, 0.15, 0.25, 0.35)):
+            copy = [rng.choice(usual) if rng.random() < share else w for w in words]
+            docs[10 * k + j] = [*pick(60), *copy, *pick(50)]
+    docs |= {1000 + i: pick(150) for i in range(200)}
+    import pyarrow as pa
+
+    hashed = lambda words: decontam.hashes(pa.array([" ".join(words)]))[0]
+    counts = np.zeros(decontam.BUCKETS)
+    for words in docs.values():
+        for s in range(0, len(words), decontam.PASSAGE):
+            counts[np.unique(decontam.buckets(hashed(words[s : s + decontam.PASSAGE])))] += 1
+    passages = sum(-(-len(w) // decontam.PASSAGE) for w in docs.values())
+    idf = np.log((1.0 + passages) / (1.0 + counts))
+    want = set()
+    for k, words in items:
+        item = decontam.Item(k, hashed(words), idf)
+        want |= {(d, k) for d, text in docs.items() if decontam.judge(item, hashed(text).tolist())[2]}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100

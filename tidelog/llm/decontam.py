@@ -1,15 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed to BUCKETS and counted over passages of all documents, which gives their inverse document frequency.
-2. A randomised SVD of TF-IDF passages gives the latent space: the range of A'A applied to a random matrix, each partition
-   adding up its passages' part. It is fitted on all passages, so a word of any source has its place in it.
+2. A randomised SVD of TF-IDF passages gives the latent space: A'A applied to a random matrix, each partition adding up its
+   passages' part, determines the leading part of A'A in one pass. It is fitted on all passages, so a word of any source has
+   its place in it.
 3. Windows of every document, of sizes that fit the items and a few words apart, are candidates for the items whose cosine
    in the latent space is at least COSINE. So are the places that share GRAM consecutive words with an item, whatever their
-   cosine: words too rare to weigh in the leading directions hide no verbatim passage. Those around which too few of the item's words occur at all to reach step 4's
-   shares, whatever their order, go at once; that drops nothing that step 4 would keep.
+   cosine: words too rare to weigh in the leading directions hide no verbatim passage. Those around which too few of the
+   item's words occur at all to reach step 4's shares, whatever their order, go at once; that drops nothing that step 4 would
+   keep.
 4. A candidate's words around the windows are held against the item's: the longest common subsequence must cover LCS of the
    item, within any stretch of at most twice its length, and ANSWER of the item's rarest words (what its answer hangs on) must
-   be there. So reworded copies are found, and texts that only share a language or a phrase are not.
+   be there. So reworded copies are found, and texts that only share a language or a phrase are not. Of items of fewer than
+   LEAST_WORDS words all must stand in a row; items of more than MOST_WORDS are looked for in parts.
 """
 
 from __future__ import annotations
@@ -23,15 +26,17 @@ from pyspark.sql import functions as F
 from tidelog.llm import common, words
 
 BUCKETS, RANK = 1 << 15, 64
-#: Passages of a task when the latent space is fitted.
-FIT_PASSAGES = 100_000
+#: Passages of a task when the latent space is fitted, and tasks at least; words that a task takes at once.
+FIT_PASSAGES, FIT_TASKS, FIT_WORDS = 100_000, 8, 1 << 12
 #: Words of a passage, of a block of which windows are made, and of windows.
 PASSAGE, STEP, WINDOWS = 64, 8, (16, 24, 32, 40, 48, 56, 64)
 COSINE, LCS, ANSWER = 0.55, 0.6, 0.5
-#: Items of fewer words are not looked for: a phrase of that length turns up by itself.
+#: Items of fewer words count only as they are: a reworded phrase of that length turns up by itself.
 LEAST_WORDS = 6
-#: Items that are looked for at once; more go in several rounds.
-MOST_ITEMS = 20_000
+#: Words of the parts in which a longer item is looked for.
+MOST_WORDS = 1024
+#: Items that are looked for at once, and bytes of them; more go in several rounds.
+MOST_ITEMS, MOST_BYTES = 20_000, 8 << 20
 #: Words of a document that are projected at once.
 PART = 1 << 18
 #: Consecutive words, packed into 64 bits by their buckets, that make a place a candidate.
@@ -105,12 +110,18 @@ def latent_space(tokens: DataFrame, idf: np.ndarray, passages: int) -> np.ndarra
 
     Division by the singular values lets no direction that all texts of a language share outweigh the others.
     """
-    parts = tokens.coalesce(max(8, passages // FIT_PASSAGES))  # each gives a matrix
-    q, _ = np.linalg.qr(_gram(parts, idf, np.random.default_rng(11).normal(size=(BUCKETS, RANK + 8))))
-    values, vectors = np.linalg.eigh(q.T @ _gram(parts, idf, q))
-    order = np.argsort(-values)[:RANK]
-    used = values[order] > 1e-9 * max(values.max(), 1e-300)
-    return np.where(used, (q @ vectors[:, order]) / np.sqrt(np.where(used, values[order], 1)), 0)
+    parts = tokens.coalesce(max(FIT_TASKS, passages // FIT_PASSAGES))  # each gives a matrix
+    random = np.random.default_rng(11).normal(size=(BUCKETS, RANK + 16))
+    sketch = _gram(parts, idf, random)
+    # A'A is about sketch (random' sketch)^-1 sketch', exact where its rank is no more than the sketch's
+    small = random.T @ sketch
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    used = values > 1e-7 * max(values.max(), 1e-300)
+    left, singular, _ = np.linalg.svd(sketch @ (vectors[:, used] / np.sqrt(values[used])), full_matrices=False)
+    out = np.zeros((BUCKETS, RANK))
+    used = singular[:RANK] > 1e-4 * max(singular.max(initial=0), 1e-300)
+    out[:, : len(used)][:, used] = left[:, :RANK][:, used] / singular[:RANK][used]
+    return out
 
 
 def _gram(tokens: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -124,17 +135,20 @@ def _gram(tokens: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
         idf, right = kept.value
         right = right * idf[:, None].astype(np.float32)
         out = np.zeros((BUCKETS, width), np.float32)
+        seen, place = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
         for _, data, first in _documents(batches, 1 << 15):
-            if not len(data):
-                continue
-            passage, n = _passages(first)
-            starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            y = np.add.reduceat(right[data], starts, axis=0)
-            y /= np.add.reduceat(idf[data] ** 2, starts)[:, None] + 1e-9  # by the squared norm, once for each side
-            order = np.argsort(data, kind="stable")
-            mine = data[order]
-            begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            out[mine[begin]] += np.add.reduceat(y[passage[order]], begin, axis=0)
+            passage, _ = _passages(first)
+            for s in range(0, len(data), FIT_WORDS):  # a passage that is cut here counts as two
+                mine, of = data[s : s + FIT_WORDS], passage[s : s + FIT_WORDS] - passage[s]
+                seen[mine] = True
+                used = np.flatnonzero(seen)
+                seen[used] = False
+                place[used] = np.arange(len(used))
+                n = int(of[-1]) + 1
+                counts = np.bincount(of * len(used) + place[mine], minlength=n * len(used)).reshape(n, len(used)).astype(np.float32)
+                y = counts @ right[used]
+                y /= (np.bincount(of, idf[mine] ** 2)[:, None] + 1e-9).astype(np.float32)  # the squared norm, once for each side
+                out[used] += counts.T @ y
         out *= idf[:, None].astype(np.float32)
         for k in range(0, BUCKETS, 512):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out[k : k + 512].tobytes()], pa.binary())], ["at", "z"])
@@ -152,17 +166,19 @@ def _gram(tokens: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return z
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The GRAM buckets from each place on as one number."""
-    out = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
+def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """The size buckets from each place on as one number."""
+    out = np.zeros(max(0, len(data) - size + 1), np.uint64)
+    for k in range(size):
         out = out << np.uint64(16) | data[k : k + len(out)].astype(np.uint64)
     return out
 
 
 class Item:
-    def __init__(self, item_id: int, h: np.ndarray, idf: np.ndarray):
-        self.id, self.words = item_id, h
+    """An item, or a part of a long one. key: the text that it is of; total: that one's words."""
+
+    def __init__(self, item_id: int, h: np.ndarray, idf: np.ndarray, key: int = 0, part: int = 0, total: int = 0):
+        self.id, self.words, self.key, self.part, self.total = item_id, h, key, part, total or len(h)
         where: dict[int, int] = {}
         for k, w in enumerate(h.tolist()):
             where[w] = where.get(w, 0) | 1 << k
@@ -200,6 +216,9 @@ def judge(item: Item, text: list[int]) -> tuple[int, float, bool]:
     Where the text's longest common subsequence is spread too far, or its stretch lacks answer words, all stretches of that
     length are gone through. A shorter one that holds the item lies within one of these, which then holds it too.
     """
+    if len(item.words) < LEAST_WORDS:
+        own = item.words.tolist()
+        return (len(own), 1.0, True) if any(text[s : s + len(own)] == own for s, w in enumerate(text) if w == own[0]) else (0, 0.0, False)
     n, start, end = common_subsequence(item, text)
     answer = len(item.answer & set(text[start:end])) / len(item.answer)
     most, least = 2 * len(item.words), LCS * len(item.words)
@@ -232,23 +251,29 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
     rows, owner, sizes = [], [], []
     for k, item in enumerate(items):
         b = buckets(item.words).astype(np.int64)
-        for s in range(0, len(b), PASSAGE):
+        for s in range(0, len(b) if len(b) >= LEAST_WORDS else 0, PASSAGE):
             part = b[s : s + PASSAGE] if len(b) - s >= LEAST_WORDS or not s else b[-PASSAGE:]
             v = latent[part].sum(axis=0)
             rows.append(v / (np.linalg.norm(v) + 1e-9))
             owner.append(k)
             sizes.append(next(w for w in WINDOWS if w >= len(part)))
     of = np.array(sizes)
-    classes = {w: (np.array(rows, np.float32)[of == w].T.copy(), np.array(owner)[of == w]) for w in WINDOWS if (of == w).any()}
+    rows = np.array(rows, np.float32).reshape(-1, RANK)
+    classes = {w: (rows[of == w].T.copy(), np.array(owner)[of == w]) for w in WINDOWS if (of == w).any()}
     kept = spark.sparkContext.broadcast((np.vstack([latent, np.zeros((1, RANK))]).astype(np.float32), classes))
     own = [buckets(i.words).astype(np.int64) for i in items]
-    listed = [grams(x) for x in own]
-    gram, holder = np.concatenate(listed), np.repeat(np.arange(len(items)), [len(x) for x in listed])
-    place = np.concatenate([np.arange(len(x)) for x in listed])
-    order = np.argsort(gram, kind="stable")
-    seen = np.zeros(1 << 22, bool)
-    seen[common.mix(gram) >> np.uint64(42)] = True
-    shared = spark.sparkContext.broadcast((gram[order], holder[order], place[order], seen))
+    tables = []
+    for n in range(1, GRAM + 1):  # shorter items than GRAM as a whole
+        some = [k for k, x in enumerate(own) if (len(x) == n if n < GRAM else len(x) >= n)]
+        if some:
+            listed = [grams(own[k], n) for k in some]
+            gram, holder = np.concatenate(listed), np.repeat(some, [len(x) for x in listed])
+            place = np.concatenate([np.arange(len(x)) for x in listed])
+            order = np.argsort(gram, kind="stable")
+            seen = np.zeros(1 << 22, bool)
+            seen[common.mix(gram) >> np.uint64(42)] = True
+            tables.append((n, gram[order], holder[order], place[order], seen))
+    shared = spark.sparkContext.broadcast(tables)
     answers = [buckets(np.fromiter(i.answer, np.uint64)).astype(np.int64) for i in items]
     rare = np.full((len(items), max(map(len, answers))), BUCKETS)
     for k, x in enumerate(answers):
@@ -291,24 +316,24 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
 
     def same(data: np.ndarray, first: np.ndarray):
         """As hits, of places that share words with an item; low and high are where the whole item would lie, cosine is -2."""
-        gram, holder, place, seen = shared.value
         own = parts.value[0]
-        text = grams(data)
-        at = np.flatnonzero(seen[common.mix(text) >> np.uint64(42)])
-        row = np.searchsorted(first, at, side="right") - 1
-        at, row = (x[at + GRAM <= first[row + 1]] for x in (at, row))
-        left, right = (np.searchsorted(gram, text[at], side=x) for x in ("left", "right"))
-        total = np.cumsum(right - left)
-        for s in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
-            k = np.arange(s, min(s + (1 << 20), int(total[-1])))
-            i = np.searchsorted(total, k, side="right")
-            to = left[i] + k - (total[i] - (right - left)[i])
-            r, item = row[i], holder[to]
-            low = at[i] - first[r] - place[to]
-            high = np.minimum(low + np.array([len(own[x]) for x in item.tolist()], np.int64), (first[r + 1] - first[r]))
-            low = np.maximum(low, 0)
-            _, once = np.unique(np.stack([r, item, low], 1), axis=0, return_index=True)
-            yield r[once], item[once], low[once], high[once], np.full(len(once), -2.0)
+        for n, gram, holder, place, seen in shared.value:
+            text = grams(data, n)
+            at = np.flatnonzero(seen[common.mix(text) >> np.uint64(42)])
+            row = np.searchsorted(first, at, side="right") - 1
+            at, row = (x[at + n <= first[row + 1]] for x in (at, row))
+            left, right = (np.searchsorted(gram, text[at], side=x) for x in ("left", "right"))
+            total = np.cumsum(right - left)
+            for s in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
+                k = np.arange(s, min(s + (1 << 20), int(total[-1])))
+                i = np.searchsorted(total, k, side="right")
+                to = left[i] + k - (total[i] - (right - left)[i])
+                r, item = row[i], holder[to]
+                low = at[i] - first[r] - place[to]
+                high = np.minimum(low + np.array([len(own[x]) for x in item.tolist()], np.int64), (first[r + 1] - first[r]))
+                low = np.maximum(low, 0)
+                _, once = np.unique(np.stack([r, item, low], 1), axis=0, return_index=True)
+                yield r[once], item[once], low[once], high[once], np.full(len(once), -2.0)
 
     def stretches(found, data: np.ndarray, first: np.ndarray):
         """The windows of a document and an item that touch, as one; without those that can't hold enough of the item."""
@@ -361,34 +386,48 @@ def _search(tokens: DataFrame, items: list[Item], latent: np.ndarray) -> DataFra
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item_id, cosine, lcs (words), lcs_share, answer_share and words (from, to) of each document that holds an item.
 
-    One row a pair, with the best of its stretches (largest lcs, then cosine, then the first). Null or empty texts on either
-    side hold nothing; rows with a null id on either side, and items of fewer than LEAST_WORDS words, are passed over.
+    One row a pair, with the best of its stretches (largest lcs, then cosine, then the first). Of an item in several parts, a
+    document holds it if the parts that it holds make up LCS of its words; lcs is their sum, answer_share their least, cosine
+    their largest. An item that stands in rows of several texts is held if one of them is. Null or empty texts on either
+    side hold nothing; rows with a null id on either side are passed over.
     Repeated rows give one row. Columns that aren't named are not read. Without documents or items the result is empty.
+    The driver holds about MOST_BYTES of items, or one item, at a time.
     """
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     asked = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).where("item_id is not null and text is not null").distinct()
-    rounds = max(1, -(-asked.count() // MOST_ITEMS))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    rounds = max(1, -(-size["n"] // MOST_ITEMS), -(-size["bytes"] // MOST_BYTES))
     tokens = common.written(token_table(docs), "tokens")
     counts, passages = frequencies(tokens)
     idf = np.log((1.0 + passages) / (1.0 + counts))
     latent = (latent_space(tokens, idf, passages) * idf[:, None]) if passages else np.zeros((BUCKETS, RANK))
     out = None
     for k in range(rounds):
-        block = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).orderBy("item_id", "text").toArrow()
+        block = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k).withColumn("key", F.xxhash64("text")).orderBy("item_id", "text").toArrow()
         h, first = hashes(block.column("text").combine_chunks())
-        items = [Item(i, h[a:b], idf) for i, a, b in zip(block.column("item_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True) if b - a >= LEAST_WORDS]
+        items = [x for i, key, a, b in zip(block.column("item_id").to_pylist(), block.column("key").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True) for x in parts_of(i, h[a:b], idf, key)]
         part = _confirm(docs, _search(tokens, items, latent), items) if items and passages else _confirm(docs.limit(0), None, [])
         out = part if out is None else out.unionByName(part)
     out = common.written(out, "leaks")
     common.release(tokens)
-    best = F.max(F.struct("lcs", "cosine", (-F.col("low")).alias("first"), "high", "lcs_share", "answer_share")).alias("b")
+    best = F.max(F.struct("lcs", "cosine", (-F.col("low")).alias("first"), "high", "answer_share")).alias("b")
+    out = out.groupBy("id", "item_id", "key", "total", "part").agg(best).select("id", "item_id", "key", "total", "b.*")
+    out = out.groupBy("id", "item_id", "key", "total").agg(F.sum("lcs").cast("int").alias("lcs"), F.max("cosine").alias("cosine"), F.max("first").alias("first"), F.max("high").alias("high"), F.min("answer_share").alias("answer_share"))
+    out = out.withColumn("lcs_share", F.col("lcs") / F.col("total")).where(F.col("lcs_share") >= LCS)
+    best = F.max(F.struct("lcs", "cosine", "first", "high", "lcs_share", "answer_share")).alias("b")
     out = out.groupBy("id", "item_id").agg(best)
     return out.select(F.col("id").alias(id_col), "item_id", "b.cosine", "b.lcs", "b.lcs_share", "b.answer_share", (-F.col("b.first")).cast("int").alias("low"), F.col("b.high").alias("high"))
 
 
-_FOUND = "id long, item_id long, cosine double, lcs int, lcs_share double, answer_share double, low int, high int"
+_FOUND = "id long, item_id long, key long, total int, part int, cosine double, lcs int, answer_share double, low int, high int"
+
+
+def parts_of(item_id: int, h: np.ndarray, idf: np.ndarray, key: int) -> list[Item]:
+    """The item, or equal parts of at most MOST_WORDS words; none of an item without words."""
+    cuts = np.linspace(0, len(h), -(-len(h) // MOST_WORDS) + 1).astype(int).tolist()
+    return [Item(item_id, h[a:b], idf, key, k, len(h)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def _confirm(docs: DataFrame, candidates: DataFrame | None, items: list[Item]) -> DataFrame:
@@ -416,9 +455,9 @@ def _confirm(docs: DataFrame, candidates: DataFrame | None, items: list[Item]) -
                             x, y = max(0, s - size), min(b - a, s + reach + size)
                             n, answer, ok = judge(item, h[a + x : a + y].tolist())
                             if ok:
-                                rows.append((i, item.id, cosine, n, n / size, answer, x, y))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-                columns = zip(*rows, strict=True) if rows else [[]] * 8
+                                rows.append((i, item.id, item.key, item.total, item.part, cosine, n, answer, x, y))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+                columns = zip(*rows, strict=True) if rows else [[]] * 10
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
     return docs.join(listed, "id").select("id", "text", "found").mapInArrow(common.lean(run), _FOUND)

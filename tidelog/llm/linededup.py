@@ -83,17 +83,33 @@ def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
     runs = repeated_runs(named.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), F.col(text_col).alias("text")), window)
     runs = runs.select(F.col("doc").alias("__of"), F.col("hash").alias("__to"), F.col("runs").alias("__places"))
     joined = named.join(runs, F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__to")), "left")
-    joined = joined.withColumn("__lines", F.when(F.col(text_col).isNotNull(), _split(text_col)))
-    joined = joined.withColumn("__full", F.when(F.col("__places").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.trim(F.get("__lines", i)) != "")))
-    joined = joined.withColumn("__runs", F.transform("__places", lambda r: F.struct(F.get("__full", r["low"]).alias("low"), F.get("__full", r["high"]).alias("high"))))
-    size = F.coalesce(F.size("__lines"), F.lit(0))
-    end = lambda k: F.when(k == 0, 0).otherwise(F.get("__runs", k - 1)["high"] + 1)
-    start = lambda k: F.when(k == F.size("__runs"), size).otherwise(F.get("__runs", k)["low"])
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda k: F.slice("__lines", end(k) + 1, start(k) - end(k))))
-    removed = F.aggregate("__runs", F.lit(0), lambda n, r: n + (r["high"] - r["low"] + 1))
-    has = F.col("__runs").isNotNull()
-    columns = [F.when(has, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in named.columns if not c.startswith("__")]
-    return joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("n_lines"), F.when(has, removed).otherwise(0).cast("long").alias("n_removed"))
+    cut = joined.withColumn("__cut", F.when(F.col("__places").isNotNull(), _cut(text_col, "__places")))
+    has = F.col("__cut").isNotNull()
+    columns = [F.when(has, F.col("__cut.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in named.columns if not c.startswith("__")]
+    return cut.select(*columns, F.coalesce(F.size(_split(text_col)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__cut.removed", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _let(value: F.Column, body) -> F.Column:
+    """body(value), with the value computed once however often and wherever in a lambda the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _cut(text: str, places: str) -> F.Column:
+    """text without the runs of lines at places, and how many lines these are. Linear in the text."""
+
+    def without(lines, runs):
+        end = lambda k: F.when(k == 0, 0).otherwise(F.get(runs, k - 1)["high"] + 1)
+        start = lambda k: F.when(k == F.size(runs), F.size(lines)).otherwise(F.get(runs, k)["low"])
+        kept = F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(lines, end(k) + 1, start(k) - end(k)))
+        removed = F.aggregate(runs, F.lit(0), lambda n, r: n + (r["high"] - r["low"] + 1))
+        return F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), removed.alias("removed"))
+
+    def numbered(lines, full):
+        runs = F.transform(places, lambda r: F.struct(F.get(full, r["low"]).alias("low"), F.get(full, r["high"]).alias("high")))
+        return _let(runs, lambda runs: without(lines, runs))
+
+    full = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
+    return _let(_split(text), lambda lines: _let(full(lines), lambda full: numbered(lines, full)))
 
 
 ORACLE = f"""
