@@ -82,3 +82,10 @@ def test_each_length_is_searched(spark, monkeypatch):
     df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in ct.threshold_links(df).collect()}
     assert got == want and all(want[i][0] for i in (at - 1, at - 2))
+
+
+def test_any_magnitude(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1e-200, 0.0]), (4, [1e200, 1e199]), (5, [5e-324, 0.0]), (6, [0.0, -1e308]), (7, [1.0, 0.0, 0.0]), (8, [1e-300, 0.0, 1e-301]), (9, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ct.threshold_links(df).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}

@@ -44,3 +44,25 @@ def test_long_texts_are_cut_between_words():
     cut = list(langid.parts(text))
     assert "".join(cut) == text and len(cut) > 2 and max(map(len, cut)) <= langid.PART
     assert all(not p[0].isalpha() for p in cut[1:])
+
+
+def test_scores_against_brute_force():
+    def bucket(gram):
+        codes = np.array([ord(c) for c in gram], np.uint64)
+        state = np.zeros(1, np.uint64)
+        for c in codes:
+            state = (state + c) * np.uint64(0x9E3779B97F4A7C15)
+            state ^= state >> np.uint64(29)
+        return int((langid.common.mix(state + np.uint64(len(codes) - 1)) & np.uint64(langid.BUCKETS - 1))[0])
+
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], np.log([0.5, 0.3, 0.2]), np.log(rng.random((3, langid.BUCKETS)) + 0.1))
+    for text in ("Ab cd", "x", "é-è  12 ZZ top", "one two\nthree"):
+        full = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        full = f" {full} "
+        padded = [(full + "   ")[i : i + n] for n in langid.ORDERS for i in range(len(full) - 1)]
+        total = model.prior + sum(model.log_prob[:, bucket(g)] for g in padded)
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        names, scores = langid.score(model, [text])
+        assert names == [model.languages[int(p.argmax())]] and np.isclose(scores[0], p.max())

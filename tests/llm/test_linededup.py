@@ -44,3 +44,12 @@ def test_nulls_repeats_and_clashing_columns(spark):
     rows = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=lambda r: r[0])
     assert rows == [(0, "two\nthree\nfour", 3, 0), (1, "one", 4, 3), (1, "one", 4, 3), (2, "x\ny", 6, 4), (3, None, 0, 0), (4, "", 1, 0)]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_hot_lines_and_other_window_sizes(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(rng.choice(["hot", "hot", f"l{rng.randrange(40)}"]) for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (1, 2, 4):
+        got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(df, window).collect()}
+        assert got == brute(rows, window)

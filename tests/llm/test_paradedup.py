@@ -90,6 +90,24 @@ def test_each_of_joined_passages_keeps_a_copy(spark):
     assert kept and gone and not kept & gone
 
 
+def test_short_documents_and_ids_with_two_texts(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"s{rng.randrange(10**6)}" for _ in range(n))
+    same, short, p, q = text(29), "two words", text(60), text(60)
+    rows = [(i, same) for i in range(20)] + [(30, short), (31, short), (32, f"{short}\n{text(20)}")]
+    rows += [(40, p), (40, q), (41, f"{text(9)} {p}"), (42, f"{text(9)} {q}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paradedup.repeats(df)
+    got = paradedup.repeats(df, least_words=1).where("kind = 'paragraph' and doc_id < 40").collect()
+    assert sorted(r.doc_id for r in got) == [*range(20), 30, 31, 32] and sorted(r.doc_id for r in got if r.kept) == [0, 30]
+    by = {}
+    for r in found.where("kind = 'passage'").collect():
+        by.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(sorted, by.values())) == [[40, 41], [40, 42]]
+    left = sorted((r.doc_id, r.text) for r in paradedup.remove(df, found).collect() if r.doc_id == 40)
+    assert left == sorted([(40, p), (40, q)])
+
+
 def test_anchors_do_not_depend_on_neighbours():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (5, 100, 31, 400, 0, 60)]

@@ -29,6 +29,31 @@ def test_marginals_by_enumeration():
     assert np.allclose(pairs, expected)
 
 
+def test_pieces_give_the_marginals_of_the_whole_chain():
+    rng = np.random.default_rng(4)
+    weight = np.concatenate([rng.normal(size=toxicity.FEATURES), [0.0]])
+    sizes = [130, 0, 64, 65, 1, 700, 63, 128]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = rng.integers(0, 2**63, (first[-1], 6)).astype(np.uint64)
+    model = toxicity.Model(weight, np.array([[2.5, -2.0], [-2.0, 2.5]]), np.zeros(4))
+    got = toxicity.token_marginals(model, hashes, first)
+    emission = weight[toxicity._buckets(hashes)].sum(axis=1)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b > a:
+            want = toxicity.marginals(emission[None, a:b], np.ones((1, b - a), bool), model.transition)[0]
+            assert np.abs(got[a:b] - want).max() < 1e-9
+
+
+def test_few_labels_long_texts_and_conflicts(spark):
+    rows = [(i, f"good words {i} and more of them") for i in range(60)] + [(100, "moron stupid " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 100)) for i, _ in rows] + [(100, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)  # one toxic document, of more than 50,000 characters, with both labels
+    assert model.constant is None
+    got = {r.doc_id: r.score for r in toxicity.tag(df, model).collect()}
+    assert got[100] > max(got[i] for i in range(60))
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = op2_toxic_spans(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()

@@ -45,3 +45,28 @@ def test_segments_in_any_order_and_damage(spark, tmp_path):
     got = {r.id: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
     assert got[7].intact and bytes(got[7].payload) == payload
     assert not got[8].intact and got[8].payload is None
+
+
+def test_plain_archives_and_files_that_end_early(spark, tmp_path):
+    payload = b"abc " * 300
+    one = lambda k: warc.records(k, "u", payload, hashlib.sha1(payload).hexdigest(), None)
+    (tmp_path / "plain.warc").write_bytes(one(1) + one(2))
+    (tmp_path / "other").write_bytes(one(3))
+    (tmp_path / "cut.warc").write_bytes(one(4) + one(5)[:-700])
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(one(6) + one(7))[:-40])
+    (tmp_path / "noise.gz").write_bytes(b"\x1f\x8b" + b"noise" * 50)
+    (tmp_path / "lengthless.warc").write_bytes(one(8) + b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    intact = {r.id for r in rows if r.intact}
+    assert {1, 2, 3, 4, 8} <= intact <= {1, 2, 3, 4, 6, 8}
+    damaged = {r.target_uri.rsplit("/", 1)[1] for r in rows if r.record_type == "damaged"}
+    assert damaged == {"cut.warc", "cut.warc.gz", "noise.gz", "lengthless.warc"}
+    assert all(not r.intact and r.payload is None for r in rows if r.record_type == "damaged")
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    df = spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("*.gz"))) >= 10
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").where("intact").count() == 200

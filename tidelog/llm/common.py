@@ -39,11 +39,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset, the checkpoint folder of the context.
+
+    Without either, one of our own: local if all of Spark is one machine's process, else in the default file system.
+    """
     if out := spark.conf.get("spark.checkpoint.dir", None):
         return out.rstrip("/")
+    context = spark.sparkContext
+    if (out := context._jsc.sc().getCheckpointDir()).isDefined():
+        return out.get().rstrip("/")
     if not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='tidelog-')}")
+        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            _own.append(f"file://{tempfile.mkdtemp(prefix='tidelog-')}")
+        else:
+            store = spark._jsparkSession.sessionState().newHadoopConf().get("fs.defaultFS", "file:///")
+            if store.startswith("file:"):
+                raise ValueError("executors share no folder: set spark.checkpoint.dir")
+            _own.append(f"{store.rstrip('/')}/tmp/tidelog-{uuid.uuid4().hex}")
     return _own[0]
 
 

@@ -1,9 +1,8 @@
 """Embedding near-duplicates: exact threshold links by a dual traversal of cover trees.
 
 On unit vectors cosine >= t is distance <= sqrt(2 - 2 t). Every vector goes to the nearest of a bounded number of pivots of
-its own length, so
-a pivot's cell is a node at the top of the tree; cells of more than a chunk of rows are split by a hash. Below, each chunk
-builds its own levels: nets whose radii halve, each node's centre being a member, with the true covering radius. Pairs of
+its own length, so a pivot's cell is a node at the top of the tree; cells of more than a chunk of rows are split by a hash.
+Below, each chunk builds its own levels: nets whose radii halve, each node's centre being a member, with the true covering radius. Pairs of
 cells, then of nodes, whose centres lie further apart than both covering radii and the threshold are dropped; pairs that lie
 within the threshold as a whole are counted without looking at their members; the others go down a level, where at the end
 single vectors meet. Nothing is approximate: the pivots' sample decides only where the work is done.
@@ -23,12 +22,17 @@ from tidelog.llm import common, components
 RADII = (0.5, 0.25, 0.125, 0.0625)
 #: The pivots are chosen from at most about so many vectors; there are at most so many of them.
 SAMPLE_ROWS, MOST_PIVOTS = 2048, 512
-#: Rows of a chunk, from and to; within that, an eighth of the table.
-LEAST_CHUNK, MOST_CHUNK = 2048, 32_768
+#: Rows of a chunk, from (unless bytes bound it) and to, and bytes of its vectors; within that, an eighth of the table.
+LEAST_CHUNK, MOST_CHUNK, CHUNK_BYTES = 2048, 1 << 20, 32 << 20
 #: Room left for rounding when node pairs are pruned; single pairs are decided by the plain formula.
 SLACK = 1e-7
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their largest component is near 1: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -243,9 +247,11 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     """The id, n_links, component_id and kept of each row of df.
 
     Two rows link if their vectors have one length and a cosine, in doubles, of at least threshold. A null vector, one with a
-    null or non-finite component and one of zeros link with nothing: 0 links, their own id as component. So do rows with a null id, whose component is null and kept false. Rows with equal vectors collapse to
-    one that counts as many times; so repeated rows link with each other. Columns that aren't named are not read; an empty
-    table gives an empty one.
+    null or non-finite component and one of zeros link with nothing: 0 links, their own id as component. So do rows with a
+    null id, whose component is null and kept false. Rows with equal vectors collapse to one that counts as many times; so
+    repeated rows link with each other. Vectors of any magnitude are compared. Columns that aren't named are not read; an
+    empty table gives an empty one. Where pivots prune nothing, as among random vectors of many dimensions, each chunk meets
+    every other, so rows move once for each CHUNK_BYTES of the table.
     """
     spark = df.sparkSession
     common.ship(spark)
@@ -260,7 +266,7 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         common.release(classes)
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     total = sum(lengths.values())
-    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, -(-total // 8)))
+    chunk = {size: max(1, min(MOST_CHUNK, CHUNK_BYTES // (8 * size), max(LEAST_CHUNK, -(-total // 8)))) for size in lengths}
     reps = usable.join(classes.select("rep", "weight", F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("size").alias("c3")), (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("c3")))
     reps = reps.dropDuplicates(["rep", "k1", "k2", "size"]).select("rep", "weight", "v")
     share = min(1.0, SAMPLE_ROWS / total)
@@ -272,8 +278,8 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         by.setdefault(len(v), []).append(v)
     tops, after = {}, 0  # by length: the number of its first cell, and its pivots; any unit vector will do as one
     for size, n in lengths.items():
-        found = unit(np.array(by[size], np.float64)) if size in by else np.eye(1, size)
-        tops[size] = after, pivots(found, min(MOST_PIVOTS, max(1, n // chunk)))
+        found = unit(scaled(np.array(by[size], np.float64))) if size in by else np.eye(1, size)
+        tops[size] = after, pivots(found, min(MOST_PIVOTS, max(1, n // chunk[size])))
         after += len(tops[size][1])
     kept = spark.sparkContext.broadcast(tops)
 
@@ -287,7 +293,7 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
                 width = pc.list_value_length(mixed.column("v")).to_numpy()
                 for size in np.unique(width).tolist():
                     part = mixed.filter(pa.array(width == size))
-                    x = np.array(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1)
+                    x = scaled(np.array(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1))
                     base, pivot = kept.value[size]
                     cosine = unit(x) @ pivot.T
                     cell = cosine.argmax(axis=1)
@@ -298,8 +304,9 @@ def threshold_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     cells = common.written(reps.mapInArrow(common.lean(assign), "rep long, weight long, x binary, cell int, far double"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot
     count, far = np.zeros(after, np.int64), np.full(after, -np.inf)
+    rows_of = np.concatenate([np.full(len(pivot), chunk[size]) for size, (_, pivot) in tops.items()])
     for r in sizes:
-        count[r["cell"]], far[r["cell"]] = -(-r["n"] // chunk), r["far"]
+        count[r["cell"]], far[r["cell"]] = -(-r["n"] // int(rows_of[r["cell"]])), r["far"]
     base = np.concatenate([[0], np.cumsum(count)])
     reach = np.sqrt(max(0.0, 2 - 2 * threshold))
     partners = []

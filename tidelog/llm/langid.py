@@ -19,6 +19,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: The classifier is fitted on at most about so many labelled rows, chosen by a hash of the id over all of them.
 TRAIN_ROWS = 20_000
+#: Tasks that count the sample's n-grams.
+FIT_TASKS = 8
 MOST_MODEL_MB = 256
 #: Texts longer than this are scored in parts.
 PART = 1_000_000
@@ -99,7 +101,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     share = int(min(1.0, train_rows / total) * (1 << 30))
     sample = df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
     sample = sample if sample.select("id").limit(1).count() else df
-    counts = sample.select("label", "text").repartition(8).mapInArrow(common.lean(_count), "label string, bucket int, n long")
+    counts = sample.select("label", "text").repartition(FIT_TASKS).mapInArrow(common.lean(_count), "label string, bucket int, n long")
     rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("label").to_pylist()))
     where = {x: i for i, x in enumerate(names)}
@@ -123,8 +125,9 @@ def _count(batches) -> Iterator:
                 mine = [t for t, x in zip(texts, labels, strict=True) if x == label]
                 counts = table.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
                 counts[BUCKETS] += len(mine)
-                for part in (p for t in mine for p in parts(t)) if max(map(len, mine)) > PART else ["\0".join(mine)]:
-                    for grams in hashed([part])[0]:
+                flat = [p for t in mine for p in parts(t)]
+                for some in [flat] if sum(map(len, flat)) <= PART else [[p] for p in flat]:
+                    for grams in hashed(some)[0]:
                         counts[:BUCKETS] += np.bincount(grams, minlength=BUCKETS)
     for label, counts in table.items():
         at = np.flatnonzero(counts)

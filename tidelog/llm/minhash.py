@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import common, components, words
 
 HASHES, TREES, DEPTH, NEAR = 128, 24, 5, 6
-#: Members in a block of step 4, and columns of its matrices that are held at once.
-BLOCK, COLUMNS = 400, 8192
+#: Members in a block of step 4 and bytes of their texts, and columns of its matrices that are held at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 400, 16 << 20, 8192
 #: Of HASHES bits, each equal with probability (1 + J) / 2: at J = 0.8 fewer than these agree in about one pair in 10 million.
 AGREE = 98
 _FACTOR = common.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -112,8 +112,7 @@ def _neighbours(batches) -> Iterator:
         same = (label[1:] == label[:-1]).all(axis=1)
         run = np.concatenate([[0], np.cumsum(~same)])
         sizes = np.bincount(run)
-        long = (sizes[run] > NEAR) | (run == run[-1]) | (run == 0)  # a run at either end may go on
-        long &= sizes[run] > 1
+        long = (sizes[run] > NEAR) | (run == run[-1]) | (run == 0)  # a run at either end may go on, even one of a single row
         long[:old] = False
         if long.any():
             add(rep[long], _keys(label[long]), np.full(long.sum(), -1))
@@ -192,7 +191,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
     candidates = common.written(found.where("rank >= 0").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(found.where("rank < 0").select(F.col("a").alias("id"))).distinct()
-    texts = common.written(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).join(wanted, "id", "left_semi").dropDuplicates(), "texts")
+    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).join(wanted, "id", "left_semi").dropDuplicates()
+    texts = common.written(texts.withColumn("bytes", F.octet_length("text").cast("long")), "texts")
 
     looked = common.written(confirmed(candidates.where("rank = 0").select("a", "b"), texts, shingle, percent), "first")
     parts = components.components(looked.where("linked"))
@@ -212,8 +212,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links a, b (linked is true) between components that share a region; see step 4.
 
-    Regions with members in common are one family. A family's members outside its main component are dealt in blocks of
-    about BLOCK, as are all its members; each pair of blocks is one task's work, which compares the full sets by products
+    texts: id, text and bytes. Regions with members in common are one family. A family's members outside its main component
+    are dealt in blocks of about BLOCK members or BLOCK_BYTES of text, as are all its members; each pair of blocks is one task's work, which compares the full sets by products
     of incidence matrices and gives only a spanning forest of what it finds linked.
     """
     of = regions.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
@@ -223,10 +223,11 @@ def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int,
     members = common.written(of.join(mixed, "key").select("rep", "c", "low").distinct(), "members")
     families = components.components(members.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     members = members.select("rep", "c").distinct().join(families, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("family"))
-    members = common.written(members, "families")
-    sizes = members.groupBy("family", "c").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("family").agg(F.sum("size").alias("m"), F.max("size").alias("most"), F.max(F.struct("size", "c")).alias("main"))
-    sizes = sizes.select("family", F.col("main.c").alias("main"), F.ceil(F.col("m") / BLOCK).alias("ny"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("nx"))
+    members = common.written(members.join(texts.groupBy(F.col("id").alias("rep")).agg(F.max("bytes").alias("bytes")), "rep"), "families")
+    sizes = members.groupBy("family", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("family").agg(F.sum("size").alias("m"), F.sum("bytes").alias("b"), F.max(F.struct("size", "c", "bytes")).alias("main"))
+    blocks = lambda size, held: F.greatest(F.ceil(size / BLOCK), F.when(size > 0, F.ceil(held / BLOCK_BYTES)).otherwise(0))
+    sizes = sizes.select("family", F.col("main.c").alias("main"), blocks(F.col("m"), F.col("b")).alias("ny"), blocks(F.col("m") - F.col("main.size"), F.col("b") - F.col("main.bytes")).alias("nx"))
     dealt = members.join(sizes, "family").withColumn("h", F.xxhash64("rep"))
     x = dealt.where("c <> main").select("family", "rep", "c", F.lit(True).alias("outside"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
     y = dealt.select("family", "rep", "c", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.expr("pmod(h, ny)").alias("by"))

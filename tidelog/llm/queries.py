@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import byte_bpe, covertree, decontam, langid, linededup, minhash, paradedup, tokencount, toxicity, warc
-from tidelog.llm.common import held_out, new_path, table, vocabulary, written
+from tidelog.llm.common import held_out, new_path, table, vocabulary
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archives(spark, path)
-    rows = written(read.select("id", F.length("payload").cast("long").alias("size"), "payload_digest", "record_type", "refers_to", "intact"), "warc-rows")
-    sizes = rows.where("record_type = 'response'").groupBy(F.col("id").alias("of")).agg(F.max("size").alias("full"))
-    rows = rows.join(sizes, F.col("refers_to") == F.col("of"), "left")
-    return rows.select(F.col("id").alias("page_id"), F.coalesce("size", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxic spans and scores by a linear-chain conditional random field.
 
-Tokens are words of letters and digits; a chain is at most CHAIN of them in a row. A token's emission is the sum of weights of
+Tokens are words of letters and digits, and those of a text are one chain. A token's emission is the sum of weights of
 its word and of the word's beginnings, hashed to FEATURES; transitions join neighbours. Forward-backward gives each token's
 marginal probability of being toxic; a document's score is a logistic function of its largest marginals and their sum, and
 runs of tokens that are likelier toxic than not are its spans.
 
 Labels are of documents, so tokens are labelled first: a token is toxic if its document is and one of its features is, with
-confidence, many times as frequent among toxic documents as among others.
+confidence, many times as frequent among toxic documents as among others. The model is fitted on pieces of CHAIN tokens; when
+texts are scored, the messages that pass between pieces are computed too, so that marginals are those of the whole chain.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ FEATURES, CHAIN = 1 << 18, 64
 #: Bytes of the word beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 8)
 #: The model is fitted on at most about so many labelled documents of each class, chosen by a hash of the id over all of
-#: them, each of at most so many characters.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 50_000
+#: them, and of these on those that come first by that hash until they have so many bytes.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 2000, 4000, 32 << 20
 THRESHOLD = 0.3
 #: Least log-odds, less 1.64 standard errors, of a feature that labels tokens.
 EVIDENCE = 2.0
@@ -65,14 +66,19 @@ def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.where(at < first[row + 1][:, None], at, -1)
 
 
-def marginals(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, pairs: bool = False):
-    """P(toxic) of each token of a batch of chains, by forward-backward; with pairs, also the expected transitions."""
+def marginals(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, pairs: bool = False, before=None, behind=None):
+    """P(toxic) of each token of a batch of chains, by forward-backward; with pairs, also the expected transitions.
+
+    before and behind: the messages that reach the first and the last token from outside, if the chains are pieces.
+    """
     n, length = emission.shape
     e = np.exp(np.clip(emission, -30, 30))
     t = np.exp(transition)
     forward, backward = np.zeros((length, n, 2)), np.ones((length, n, 2))
-    forward[0] = np.stack([np.ones(n), e[:, 0]], 1)
+    forward[0] = np.stack([np.ones(n), e[:, 0]], 1) if before is None else before * np.stack([np.ones(n), e[:, 0]], 1)
     forward[0] /= forward[0].sum(axis=1, keepdims=True)
+    end = np.ones((n, 2)) if behind is None else behind
+    backward[-1] = end
     for k in range(1, length):
         step = forward[k - 1] @ t
         step[:, 1] *= e[:, k]
@@ -83,7 +89,7 @@ def marginals(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, pa
         after[:, 1] *= e[:, k + 1]
         step = after @ t.T
         step /= step.sum(axis=1, keepdims=True)
-        backward[k] = np.where(mask[:, k + 1, None], step, 1)
+        backward[k] = np.where(mask[:, k + 1, None], step, end)
     both = forward * backward
     p = (both[:, :, 1] / both.sum(axis=2)).T
     p[~mask] = 0
@@ -150,14 +156,61 @@ def train_crf(hashes: np.ndarray, first: np.ndarray, labels: np.ndarray, steps:
     return weight, transition
 
 
+def messages(emission: np.ndarray, row: np.ndarray, at: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches the first and the last token of each piece of a chain from the pieces before and behind it.
+
+    A piece's matrix takes a message over all its tokens; the products of these matrices along a row give the messages.
+    """
+    n = len(row)
+    t = np.exp(transition)
+    before, behind = np.ones((n, 2)), np.ones((n, 2))
+    begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, n))
+    if n == 0 or sizes.max() == 1:
+        return before, behind
+    whole = np.zeros((n, 2, 2))  # all pieces but the last of a row are full
+    for s in range(0, n, 4096):
+        e = np.exp(np.clip(emission[np.maximum(at[s : s + 4096], 0)], -30, 30))
+        step = np.tile(np.eye(2), (len(e), 1, 1))
+        for k in range(at.shape[1]):
+            if k:
+                step = step @ t
+            step[:, :, 1] *= e[:, k, None]
+            step /= step.sum(axis=(1, 2), keepdims=True)
+        whole[s : s + 4096] = step
+    most = int(sizes.max())
+    for k in range(1, most):  # messages to piece k of each row that has one
+        i = begins[sizes > k] + k
+        step = (before[i - 1, None, :] @ whole[i - 1])[:, 0] @ t
+        before[i] = step / step.sum(axis=1, keepdims=True)
+    last = begins + sizes - 1
+    e = np.exp(np.clip(np.where(at[last] >= 0, emission[np.maximum(at[last], 0)], 0), -30, 30))
+    tail = np.ones((len(last), 2))  # from a last piece, which may be short, to its first token
+    for k in range(at.shape[1] - 1, -1, -1):
+        used = at[last, k] >= 0
+        step = tail.copy()
+        step[:, 1] *= e[:, k]
+        step = step @ t.T  # to the token before, at k = 0 that of the piece before
+        tail = np.where(used[:, None], step / step.sum(axis=1, keepdims=True), tail)
+    for k in range(2, most + 1):  # from behind: piece size - k of each row
+        i = begins[sizes >= k] + sizes[sizes >= k] - k
+        if k == 2:
+            behind[i] = tail[sizes >= k]
+        else:
+            step = (whole[i + 1] @ behind[i + 1, :, None])[:, :, 0] @ t.T
+            behind[i] = step / step.sum(axis=1, keepdims=True)
+    return before, behind
+
+
 def token_marginals(model: Model, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes))
     emission = model.weight[_buckets(hashes)].sum(axis=1) + model.weight[-1]
-    _, at = chains(first)
+    row, at = chains(first)
+    before, behind = messages(emission, row, at, model.transition)
     for s in range(0, len(at), 4096):
         part = at[s : s + 4096]
         mask = part >= 0
-        out[part[mask]] = marginals(np.where(mask, emission[part], 0), mask, model.transition)[mask]
+        out[part[mask]] = marginals(np.where(mask, emission[part], 0), mask, model.transition, before=before[s : s + 4096], behind=behind[s : s + 4096])[mask]
     return out
 
 
@@ -195,27 +248,41 @@ def fit_score(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the documents that have a label. With labels of one class or none, the score is constant."""
+    """Fit on a bounded sample of the documents that have a label. An id with both labels counts as toxic.
+
+    With labels of one class or none, the score is constant. A third of each class is kept for the score's coefficients; the
+    only document of a class is used for both.
+    """
     import pyarrow as pa
 
     common.ship(documents.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     none = Model(np.zeros(FEATURES + 1), np.zeros((2, 2)), np.zeros(4), n1 / max(1, n1 + n0))
     if not n1 or not n0:
         return none
     share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, TRAIN_TOXIC / n1) * (1 << 30)))).otherwise(int(min(1.0, TRAIN_CLEAN / n0) * (1 << 30)))
-    sample = known.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) < share).dropDuplicates(["id"])
-    texts = documents.select(documents[id_col].alias("of"), documents[text_col].alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    # broadcast: about TRAIN_TOXIC + TRAIN_CLEAN rows of two numbers
-    rows = texts.join(F.broadcast(sample), F.col("of") == F.col("id")).select("id", "text", "toxic").toArrow().sort_by("id")
+    chance = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30))
+    sample = known.withColumn("chance", chance).where(F.col("chance") < share)
+    texts = documents.select(documents[id_col].alias("of"), documents[text_col].alias("text")).where("text is not null")
+    # broadcast: about TRAIN_TOXIC + TRAIN_CLEAN rows of three numbers, here and below
+    sizes = texts.join(F.broadcast(sample), F.col("of") == F.col("id")).groupBy("id", "chance", "toxic").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = sorted((r["toxic"], r["chance"], r["id"], r["bytes"]) for r in sizes.collect())
+    taken = [x for label in (0, 1) for x in _within([s for s in sizes if s[0] == label], TRAIN_BYTES * (1 + label) // 3)]
+    if not taken:
+        return none
+    taken = documents.sparkSession.createDataFrame([(i, label) for label, _, i, _ in taken], known.schema)
+    rows = texts.join(F.broadcast(taken), F.col("of") == F.col("id")).select("id", "text", "toxic").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
-    third = np.arange(len(toxic)) % 3 == 0
+    place = np.where(toxic == 1, np.cumsum(toxic), np.cumsum(1 - toxic)) - 1  # within its class
+    alone = np.bincount(toxic, minlength=2)[toxic] == 1
+    third = (place % 3 == 0) | alone
     pick = lambda keep: (tokens_of(rows.column("text").combine_chunks().filter(pa.array(keep))), toxic[keep])
-    if min(toxic[third].sum(), (1 - toxic[third]).sum(), toxic[~third].sum(), (1 - toxic[~third]).sum()) == 0:
+    if toxic.min() == toxic.max():
         return none
-    (hashes, first), y = pick(~third)
+    (hashes, first), y = pick(~third | alone)
     weight, transition = train_crf(hashes, first, token_labels(hashes, first, y))
     model = Model(weight, transition, np.zeros(4))
     (hashes, first), y = pick(third)
@@ -225,6 +292,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Model(weight.astype(np.float32), transition, fit_score(x, y, balance))
 
 
+def _within(sizes: list[tuple], most: int) -> list[tuple]:
+    """The first of these whose bytes, which stand last, add up to no more than most; one at least."""
+    total = np.cumsum([s[-1] for s in sizes]) if sizes else np.zeros(0)
+    return sizes[: max(1, int(np.searchsorted(total, most, side="right")))]
+
+
 def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """score, predicted and spans of each whole text, with the id and the columns in keep.
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
+#: Bytes of payload in a file of an archive, by the mean and by the largest payload; records of one at most.
+FILE_BYTES, MOST_FILE_BYTES, FILE_RECORDS = 64 << 20, 1 << 30, 8000
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
@@ -81,7 +83,7 @@ def records(row_id: int | None, url: str | None, payload: bytes, digest: str, re
     name = f"<urn:uuid:{uuid.uuid4()}>"
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     fields = [("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", _line(url or "")), ("WARC-Payload-Digest", sha), ("Content-Type", "application/http; msgtype=response")]
-    fields += [("X-Row-ID", str(row_id))] if row_id is not None else []
+    fields += [("X-Payload-Bytes", str(len(payload)))] + ([("X-Row-ID", str(row_id))] if row_id is not None else [])
     if refers_to is not None:
         return record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", PROFILE), ("X-Refers-To-Row-ID", str(refers_to))], HTTP.replace(b"Transfer-Encoding: chunked\r\n", b""))
     block = HTTP + chunked(payload)
@@ -162,38 +164,53 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
                     out.append(text[:-2].decode())  # the writer ends each row with the last CRLF
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows = df.select(df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"), F.coalesce(df[payload_col], F.lit("")).alias("payload"))
+    payload = F.coalesce(df[payload_col], F.lit(""))
+    rows = df.select(df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     large = F.octet_length("payload") >= least
     firsts = rows.where(large).groupBy(F.col("digest").alias("same")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
     rows = rows.join(firsts, large & (F.col("digest") == F.col("same")), "left")
     values = rows.select("id", "url", "payload", "digest", "first").mapInArrow(common.lean(run), "value string")
-    values.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 8000).text(path)
+    # readers take a file as a whole, so what is in one is bounded
+    size = F.octet_length(payload)
+    mean, most = df.select(F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0))).first()
+    records_in = max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 1)), MOST_FILE_BYTES // (most + 1)))
+    values.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_in).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder, one row for each origin.
+    """The records of all archives in a folder, gzip or plain and of any name, one row for each origin.
 
     id, record_type, target_uri, refers_to, payload (binary, null for revisits and damaged records), payload_digest (hex,
-    of the payload if there is one, else as recorded) and intact: all segments are there, their length is the total, the
-    framing can be read and the digest is the recorded one. Segments may be in any order and in different files.
+    of the payload if there is one, else as recorded), payload_bytes (likewise) and intact: all segments are there, their
+    length is the total, the framing can be read and the digest is the recorded one. Segments may be in any order and in
+    different files. A file that can't be read to its end gives what stands before the fault, and a row of type damaged
+    with the file as target_uri.
     """
     common.ship(spark)
 
     def split(batches) -> Iterator:
         import pyarrow as pa
 
-        names = ["origin", "number", "total", "id", "type", "uri", "refers_to", "digest", "block"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        for batch in batches:
-            for data in batch.column(0):
-                rows, size = [], 0
-                for f, block in parse(inflated(data.as_py())):
+        names = ["origin", "number", "total", "id", "type", "uri", "refers_to", "digest", "bytes", "block"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+        def found(data, path):
+            try:
+                for f, block in parse(inflated(data)):
                     number = lambda k, f=f: int(f[k]) if k in f else None
                     digest = f.get("warc-payload-digest", "")
                     hexed = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-                    rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), number("warc-segment-number") or 1, number("warc-segment-total-length"), number("x-row-id"), f.get("warc-type"), f.get("warc-target-uri"), number("x-refers-to-row-id"), hexed, block))
-                    size += len(block)
+                    yield f.get("warc-segment-origin-id", f.get("warc-record-id")), number("warc-segment-number") or 1, number("warc-segment-total-length"), number("x-row-id"), f.get("warc-type"), f.get("warc-target-uri"), number("x-refers-to-row-id"), hexed, number("x-payload-bytes"), block
+            except (ValueError, KeyError, zlib.error):
+                yield f"damaged {path}", 1, None, None, "damaged", path, None, None, None, b""
+
+        for batch in batches:
+            for data, path in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows, size = [], 0
+                for row in found(data.as_py(), path):
+                    rows.append(row)
+                    size += len(row[-1])
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, size = [], 0
@@ -205,8 +222,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
-                payloads, digests, intact = [], [], []
-                for segments, kind, want in zip(*(batch.column(c).slice(start, 200).to_pylist() for c in ("segments", "type", "digest")), strict=True):
+                payloads, digests, sizes, intact = [], [], [], []
+                for segments, kind, want, size in zip(*(batch.column(c).slice(start, 200).to_pylist() for c in ("segments", "type", "digest", "bytes")), strict=True):
                     block = b"".join(s["block"] for s in segments)
                     total = next((s["total"] for s in segments if s["total"] is not None), None)
                     ok = [s["number"] for s in segments] == list(range(1, len(segments) + 1)) and (total == len(block) if len(segments) > 1 or total is not None else True)
@@ -219,15 +236,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     got = hashlib.sha1(payload).hexdigest() if payload is not None else want
                     payloads.append(payload)
                     digests.append(got)
-                    intact.append(bool(ok and got == want))
+                    sizes.append(len(payload) if payload is not None else size)
+                    intact.append(bool(ok and got == want and kind != "damaged"))
                 part = batch.slice(start, 200)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "type", "uri", "refers_to")), pa.array(payloads, pa.binary()), pa.array(digests, pa.string()), pa.array(intact)], ["id", "record_type", "target_uri", "refers_to", "payload", "payload_digest", "intact"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "type", "uri", "refers_to")), pa.array(payloads, pa.binary()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(intact)], ["id", "record_type", "target_uri", "refers_to", "payload", "payload_digest", "payload_bytes", "intact"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    rows = files.mapInArrow(common.lean(split), "origin string, number long, total long, id long, type string, uri string, refers_to long, digest string, block binary")
+    files = spark.read.format("binaryFile").load(path).select("content", "path")
+    rows = files.mapInArrow(common.lean(split), "origin string, number long, total long, id long, type string, uri string, refers_to long, digest string, bytes long, block binary")
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    whole = rows.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("segments"), *map(first, ("id", "type", "uri", "refers_to", "digest")))
-    return whole.select("segments", "id", "type", "uri", "refers_to", "digest").mapInArrow(common.lean(join), "id long, record_type string, target_uri string, refers_to long, payload binary, payload_digest string, intact boolean")
+    whole = rows.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("segments"), *map(first, ("id", "type", "uri", "refers_to", "digest", "bytes")))
+    return whole.select("segments", "id", "type", "uri", "refers_to", "digest", "bytes").mapInArrow(common.lean(join), "id long, record_type string, target_uri string, refers_to long, payload binary, payload_digest string, payload_bytes long, intact boolean")
 
 
 ORACLE = f"""
