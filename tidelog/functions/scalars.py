@@ -66,5 +66,5 @@ def admitted(pool: Column, unit: Column, dirty: Column, progress: Column, reserv
 
 def ewma(samples: Column) -> Column:
     """The integer average after an ordered array of samples: 20 % weight on a rise, 5 % on a fall; zeros are passed over."""
-    step = lambda a, x: F.when(x == 0, a).when(a == 0, x).otherwise(F.floor((a * (100 - F.when(x >= a, 20).otherwise(5)) + x * F.when(x >= a, 20).otherwise(5)) / 100))
+    step = lambda a, x: F.when(x == 0, a).when(a == 0, x).otherwise(F.call_function("div", a * (100 - F.when(x >= a, 20).otherwise(5)) + x * F.when(x >= a, 20).otherwise(5), F.lit(100)))
     return F.aggregate(samples, F.lit(0).cast("long"), lambda a, x: step(a, x).cast("long"))

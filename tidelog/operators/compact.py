@@ -28,13 +28,12 @@ def merge(delta: DataFrame, base: DataFrame) -> DataFrame:
 def fold_pages(updates: DataFrame) -> DataFrame:
     """The address of each page after all updates in order: 0 takes it out, a smaller one than the current is ignored.
 
-    Within a stretch between removals the largest address stands; so the last stretch's maximum is the page's address.
+    Within a stretch between removals the largest address stands; so it is the maximum after the last removal. Two aggregates
+    find it, which thin the updates before they move.
     """
-    order = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = updates.withColumn("era", F.count(F.when(F.col("addr") == 0, 1)).over(order))
-    last = rows.groupBy("pid", "era").agg(F.max("addr").alias("addr"))
-    last = last.groupBy("pid").agg(F.max(F.struct("era", "addr")).alias("last"))
-    return last.where("last.addr <> 0").select("pid", "last.addr")
+    gone = updates.where("addr = 0").groupBy("pid").agg(F.max("seq").alias("gone"))
+    after = updates.where("addr <> 0").join(gone, "pid", "left").where("gone IS NULL OR seq > gone")
+    return after.groupBy("pid").agg(F.max("addr").alias("addr"))
 
 
 def page_frontier(versions: DataFrame) -> DataFrame:

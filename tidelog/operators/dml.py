@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +9,29 @@ from tidelog.functions.keys import too_large
 
 
 def outcomes(ops: DataFrame) -> DataFrame:
-    """ops with the state of the key before (live) and the outcome of each operation of a serial log.
+    """ops with the state of the key before (live) and the outcome of each operation of a serial log of transactions.
 
-    Each operation sets a key live or dead or leaves it; so the state before one is the last set one, which a window finds.
-    An empty value is a tombstone, an aborted transaction leaves no trace, and size limits come before all else.
+    Each operation sets a key live or dead or leaves it; so the state before one is the last set one, which windows find: in
+    its own transaction, else in those before that did not abort. An empty value is a tombstone, and size limits come before
+    all else. effect says what an upsert or a put of a new key did: Insert or Replace.
     """
     large = too_large(F.col("k"), F.col("v"))
-    effect = F.when(F.col("aborted") | large, None).when(F.col("op") == "del", 0).when(F.col("op").isin("update", "upsert") & (F.col("v") == ""), 0)
+    effect = F.when(large, None).when(F.col("op") == "del", 0).when(F.col("op").isin("update", "upsert") & (F.col("v") == ""), 0)
     effect = effect.when(F.col("op") == "upsert", 1).when((F.col("op") == "put") & (F.col("v") != ""), 1)
-    before = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ops.withColumn("effect", effect).withColumn("live", F.coalesce(F.last("effect", True).over(before), F.lit(0)))
+    before = Window.partitionBy("k").orderBy("txid", "cmd").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("k", "txid").orderBy("cmd").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ops.withColumn("state", effect)
+    live = F.coalesce(F.last("state", True).over(own), F.last(F.when(~F.col("aborted"), F.col("state")), True).over(before), F.lit(0))
+    rows = rows.withColumn("live", live)
     outcome = F.when(large, "TooLarge").when((F.col("op") == "put") & (F.col("live") == 1), "Exist").when(F.col("op").isin("update", "del") & (F.col("live") == 0), "NotFound")
-    return rows.withColumn("outcome", outcome.otherwise("Ok")).drop("effect")
+    rows = rows.withColumn("outcome", outcome.otherwise("Ok"))
+    wrote = (F.col("outcome") == "Ok") & (F.col("state") == 1)
+    return rows.withColumn("effect", F.when(wrote & (F.col("live") == 1), "Replace").when(wrote, "Insert")).drop("state")
 
 
 def versions(ops: DataFrame) -> DataFrame:
     """The versions that successful operations wrote: k, txid, cmd, gid, v, tomb, aborted, commit_ts."""
-    return outcomes(ops).where("outcome = 'Ok'").select("k", "txid", F.lit(1).cast("long").alias("cmd"), "gid", "v", (F.col("v") == "").alias("tomb"), "aborted", "commit_ts")
+    return outcomes(ops).where("outcome = 'Ok'").select("k", "txid", "cmd", "gid", "v", (F.col("v") == "").alias("tomb"), "aborted", "commit_ts")
 
 
 def without_aborted(versions: DataFrame, txns: DataFrame) -> DataFrame:
@@ -50,23 +54,21 @@ def overlaps(writers: DataFrame) -> DataFrame:
 def first_writer_wins(writers: DataFrame) -> DataFrame:
     """k, txid and ok: whether a writer finds no winner before it that had not committed when it began.
 
-    A loser blocks nobody, so the fate of each depends on those before. One pass over the log in key and time order
-    with one number of state does it; no key's rows are ever held together.
+    A loser blocks nobody, so the fate of each depends on those before. Each key's log is first cut where no writer spans: the
+    first of each piece wins whatever came before, and most pieces are one writer. What is left is a fold over each piece
+    with one number of state, inside the JVM; so only writers that overlap in a chain are held together.
     """
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        key, held = None, -1
-        for batch in batches:
-            ok = []
-            for k, s, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
-                    key, held = k, -1
-                ok.append(held < s)
-                if held < s:
-                    held = c
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["k", "txid", "ok"])
-
-    ordered = writers.select("k", "txid", "commit_ts").repartition("k").sortWithinPartitions("k", "txid")
-    return ordered.mapInArrow(run, f"k {writers.schema['k'].dataType.simpleString()}, txid long, ok boolean")
+    order = Window.partitionBy("k").orderBy("txid")
+    until = F.max("commit_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = writers.select("k", "txid", "commit_ts").withColumn("begins", F.when(until >= F.col("txid"), 0).otherwise(1))
+    rows = rows.withColumn("piece", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pieces = rows.groupBy("k", "piece").agg(F.sort_array(F.collect_list(F.struct("txid", "commit_ts"))).alias("all"))
+    start = F.struct(F.lit(-1).cast("long").alias("held"), F.array().cast("array<long>").alias("won"))
+
+    def step(state, x):
+        wins = state["held"] < x["txid"]
+        return F.struct(F.when(wins, x["commit_ts"]).otherwise(state["held"]).alias("held"), F.when(wins, F.concat(state["won"], F.array(x["txid"]))).otherwise(state["won"]).alias("won"))
+
+    won = F.when(F.size("all") == 1, F.array(F.get("all", F.lit(0))["txid"])).otherwise(F.aggregate("all", start, step)["won"])
+    found = pieces.select("k", "all", won.alias("won"))
+    return found.select("k", F.explode(F.transform("all", lambda x: F.struct(x["txid"].alias("txid"), F.array_contains("won", x["txid"]).alias("ok")))).alias("x")).select("k", "x.*")

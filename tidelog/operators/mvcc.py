@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEVER = (1 << 63) - 1
+#: Log positions that are counted together.
+SLOT = 1 << 16
 
 
 def states(ops: DataFrame, upto: int) -> DataFrame:
@@ -44,13 +46,18 @@ def pruned_facts(txns: DataFrame, safe: int) -> DataFrame:
 
 
 def long_transactions(txns: DataFrame, checkpoints: DataFrame, limit: int) -> DataFrame:
-    """Active transactions past limit checkpoints (column pos, few), which may only be aborted.
+    """Active transactions past limit checkpoints (column pos), which may only be aborted.
 
-    Both sides meet in one sort by position: the checkpoints after a beginning are counted by a window over slots.
+    Both sides go into one table by position, cut into slots of SLOT positions: how many checkpoints lie in later slots is a sum
+    over slots, those in the own slot are counted by a window within it.
     """
-    marks = F.broadcast(checkpoints.agg(F.sort_array(F.collect_list("pos")).alias("marks")))
-    past = F.size(F.filter("marks", lambda m: m > F.col("begin_pos")))
-    return txns.where("state = 'active'").crossJoin(marks).select("txid", past.cast("long").alias("passed")).where(F.col("passed") >= limit)
+    own = txns.where("state = 'active'").select(F.col("begin_pos").alias("pos"), "txid", F.lit(0).alias("mark"))
+    both = own.unionByName(checkpoints.select("pos", F.lit(None).cast("long").alias("txid"), F.lit(1).alias("mark"))).withColumn("slot", F.expr(f"pos DIV {SLOT}"))
+    slots = both.groupBy("slot").agg(F.sum("mark").alias("marks"))  # a row for each stretch of the log in use
+    later = slots.withColumn("later", F.coalesce(F.sum("marks").over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("slot", "later")
+    behind = Window.partitionBy("slot").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("here", F.coalesce(F.sum("mark").over(behind), F.lit(0))).where("txid IS NOT NULL").join(later, "slot")
+    return rows.select("txid", (F.col("here") + F.col("later")).alias("passed")).where(F.col("passed") >= limit)
 
 
 def abort_tasks_by_bucket(tasks: DataFrame) -> DataFrame:

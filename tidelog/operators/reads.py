@@ -64,14 +64,34 @@ class View:
         return self.range(bounds).orderBy(F.desc("k") if reverse else F.asc("k"))
 
 
+#: Ranges of keys that are numbered side by side, and keys of the sample that sets their bounds.
+RANGES, SAMPLE = 64, 4096
+
+
 def ranked(rows: DataFrame, reverse: bool = False) -> DataFrame:
-    """rows with their place in key order. The rank is global, so rows should be a bounded range."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("k") if reverse else F.asc("k"))).cast("long"))
+    """rows with their place in key order, and n, how many there are.
+
+    Keys are cut into at most RANGES ranges at bounds from a sample of SAMPLE keys (which only sets who does what); each range
+    is numbered by itself, and the ranges' sizes, a small table, are broadcast as what stands before each.
+    """
+    sample = sorted(r["k"] for r in rows.select("k").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE).collect())
+    bounds = sorted({sample[len(sample) * i // RANGES] for i in range(1, RANGES)}) if sample else []
+    part = F.lit(0)
+    for i, bound in enumerate(bounds, 1):
+        part = F.when(F.col("k") >= F.lit(bound), i) if i == 1 else F.when(F.col("k") >= F.lit(bound), i).otherwise(part)
+    part = F.coalesce(part, F.lit(0)) * (-1 if reverse else 1)
+    rows = rows.withColumn("part", part)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    all_sizes = sizes.agg(F.collect_list(F.struct("part", "size")).alias("sizes"))  # RANGES entries at most
+    order = Window.partitionBy("part").orderBy(F.desc("k") if reverse else F.asc("k"))
+    numbered = rows.withColumn("place", F.row_number().over(order).cast("long")).crossJoin(F.broadcast(all_sizes))
+    add = lambda use: F.aggregate("sizes", F.lit(0).cast("long"), lambda total, x: total + F.when(use(x), x["size"]).otherwise(0))
+    return numbered.withColumn("place", F.col("place") + add(lambda x: x["part"] < F.col("part"))).withColumn("n", add(lambda x: F.lit(True))).drop("part", "sizes")
 
 
 def both_ends(rows: DataFrame) -> DataFrame:
     """The order in which a range is used up that is taken in turns from its front and its back."""
-    n = ranked(rows).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n = ranked(rows)
     front = F.col("place") * 2 - 1
     back = (F.col("n") - F.col("place") + 1) * 2
     return n.withColumn("turn", F.least(front, back)).drop("n", "place")

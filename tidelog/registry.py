@@ -17,27 +17,32 @@ from tidelog.operators import compact, dml, gc, meta, mvcc, observe, reads, wal
 from tidelog.sources import adapters
 
 S, SAFE, CUT = 80_001, 80_000, 80_000
+#: Keys that are live and deleted at S.
+LIVE, DEAD = "u000002", "u000010"
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 _PARTS = {
     "ops": """ops AS (SELECT event_id AS seq, concat('u', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS k,
   CASE event_type WHEN 'signup' THEN 'put' WHEN 'click' THEN 'update' WHEN 'error' THEN 'del' ELSE 'upsert' END AS op,
-  CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN '' ELSE props END AS v, 16 * event_id + 1 AS txid, 16 * event_id + 2 AS commit_ts,
-  event_id % 13 = 0 AS aborted, event_id % 4 AS gid FROM events)""",
-    "oc": """fx AS (SELECT *, CASE WHEN aborted THEN NULL WHEN op = 'del' THEN 0 WHEN op IN ('update', 'upsert') AND v = '' THEN 0
+  CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN '' ELSE props END AS v, 48 * (event_id // 3) + 1 AS txid, event_id % 3 + 1 AS cmd,
+  48 * (event_id // 3) + 40 AS commit_ts, event_id // 3 % 13 = 0 AS aborted, event_id // 3 % 4 AS gid FROM events)""",
+    "oc": """fx AS (SELECT *, CASE WHEN op = 'del' THEN 0 WHEN op IN ('update', 'upsert') AND v = '' THEN 0
   WHEN op = 'upsert' THEN 1 WHEN op = 'put' AND v <> '' THEN 1 END AS eff FROM ops),
-st AS (SELECT *, coalesce(last_value(eff IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS live FROM fx),
+st AS (SELECT *, coalesce(last_value(eff IGNORE NULLS) OVER (PARTITION BY k, txid ORDER BY cmd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  last_value(CASE WHEN NOT aborted THEN eff END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS live FROM fx),
 oc AS (SELECT *, CASE WHEN op = 'put' AND live = 1 THEN 'Exist' WHEN op IN ('update', 'del') AND live = 0 THEN 'NotFound' ELSE 'Ok' END AS outcome FROM st)""",
-    "ver": "ver AS (SELECT k, txid, 1 AS cmd, gid, v, v = '' AS tomb, aborted, commit_ts FROM oc WHERE outcome = 'Ok')",
+    "ver": "ver AS (SELECT k, txid, cmd, gid, v, v = '' AS tomb, aborted, commit_ts FROM oc WHERE outcome = 'Ok')",
     "snap": f"""snap AS (SELECT k, v, txid FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY txid DESC, cmd DESC) AS rn FROM ver
   WHERE NOT aborted AND commit_ts < {S} AND txid < {S}) WHERE rn = 1 AND NOT tomb)""",
     "over": "over_ AS (SELECT user_id AS k, 16 * event_id + 1 AS txid, 16 * (event_id + event_id % 5) + 2 + event_id % 5 AS commit_ts, event_id % 4 AS gid FROM events)",
     "txns": f"""txns AS (SELECT txid, gid, CASE WHEN commit_ts >= {CUT} THEN 'active' WHEN aborted THEN 'aborted' ELSE 'committed' END AS state,
   CASE WHEN commit_ts < {CUT} AND NOT aborted THEN commit_ts END AS commit_ts, seq * 3 AS begin_pos FROM
   (SELECT event_id AS seq, event_id % 4 AS gid, 16 * event_id + 1 AS txid, 16 * (event_id + event_id % 5) + 2 + event_id % 5 AS commit_ts, event_id % 13 = 0 AS aborted FROM events) WHERE txid < {CUT})""",
-    "wal": """wal AS (SELECT gid, seq * 3 + part >> 9 AS file, seq * 3 + part AS pos, kind, txid, k, v, seq % 3 AS bucket, NOT (gid = 2 AND seq % 2000 = 1602 AND part = 1) AS intact
-  FROM (SELECT o.*, p.part, CASE p.part WHEN 0 THEN 'Begin' WHEN 1 THEN 'Update' ELSE CASE WHEN aborted THEN 'Abort' ELSE 'Commit' END END AS kind
-  FROM ops o CROSS JOIN (SELECT unnest([0, 1, 2]) AS part) p) WHERE NOT (part = 2 AND seq % 40 = 7))""",
+    "wal": """wal AS (SELECT gid, (seq * 5 + part) // 512 AS file, seq * 5 + part AS pos, kind, txid, CASE WHEN part BETWEEN 1 AND 3 THEN cmd * 3 + part - 3 END AS cmd, k,
+  CASE WHEN part < 2 THEN v ELSE v || '+' || part END AS v, seq % 3 AS bucket, NOT (gid = 2 AND seq % 2000 = 1602 AND part = 1) AS intact
+  FROM (SELECT o.*, p.part, CASE WHEN p.part = 0 THEN 'Begin' WHEN p.part < 4 THEN 'Update' WHEN aborted THEN 'Abort' ELSE 'Commit' END AS kind
+  FROM ops o CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS part) p WHERE CASE p.part WHEN 0 THEN cmd = 1 WHEN 4 THEN cmd = 3 ELSE p.part <= seq % 3 + 1 END)
+  WHERE NOT (part = 4 AND seq // 3 % 40 = 7))""",
     "good": "good AS (SELECT w.* FROM wal w LEFT JOIN (SELECT gid, min(pos) AS bad FROM wal WHERE NOT intact GROUP BY gid) b USING (gid) WHERE bad IS NULL OR pos < bad)",
     "st": """fs AS (SELECT l_suppkey AS file_id, l_suppkey % 7 AS bucket_id, count(*) AS total_elems, count(*) FILTER (WHERE l_returnflag <> 'R') AS active_elems,
   CAST(sum(l_quantity) AS BIGINT) AS total_size, CAST(coalesce(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R'), 0) AS BIGINT) AS active_size,
@@ -86,12 +91,17 @@ def _log(spark, d):
     return adapters.ops(spark, d)
 
 
-def _versions(spark, d):
-    return dml.versions(_log(spark, d))
+def _versions(spark, d, users=None):
+    return dml.versions(adapters.ops(spark, d, users))
 
 
-def _view(spark, d, snapshot=S, owner=None):
-    return reads.View(_versions(spark, d), snapshot, owner)
+def _view(spark, d, snapshot=S, owner=None, users=None):
+    """users: bounds of the keys' numbers, which reach the scan; see adapters.ops()."""
+    return reads.View(_versions(spark, d, users), snapshot, owner)
+
+
+def _number(key: str) -> int:
+    return int(key.removeprefix("u"))
 
 
 def _txns(spark, d):
@@ -111,32 +121,37 @@ def snapshot_scan(spark, d):
     return _view(spark, d).scan()
 
 
-@_query("snap", "SELECT * FROM snap WHERE k = 'u000007'")
+@_query("snap", f"SELECT * FROM snap WHERE k = '{LIVE}'")
 def point_get(spark, d):
-    return _view(spark, d).get("u000007")
+    return _view(spark, d, users=(_number(LIVE),) * 2).get(LIVE)
 
 
 @_query("ver", f"""SELECT v.k, v.txid, v.tomb FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY txid DESC, cmd DESC) AS rn FROM ver
-  WHERE NOT aborted AND commit_ts < {S} AND txid < {S}) v WHERE rn = 1 AND tomb""")
+  WHERE NOT aborted AND commit_ts < {S} AND txid < {S}) v WHERE rn = 1 AND tomb AND k = '{DEAD}'""")
 def point_get_tombstone(spark, d):
-    v = _versions(spark, d)
-    return reads.newest(v.where(reads.visible(S)), "k").where("tomb").select("k", "txid", "tomb")
+    v = _versions(spark, d, (_number(DEAD),) * 2)
+    return reads.newest(v.where((F.col("k") == DEAD) & reads.visible(S)), "k").where("tomb").select("k", "txid", "tomb")
+
+
+@_query("snap", f"SELECT k, v, txid FROM snap WHERE k = '{DEAD}'")
+def point_get_dead(spark, d):
+    return _view(spark, d, users=(_number(DEAD),) * 2).get(DEAD)
 
 
 @_query("ver", """SELECT k, v, txid FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY txid DESC, cmd DESC) AS rn FROM ver
-  WHERE NOT aborted AND ((commit_ts < 80017 AND txid < 80017) OR (txid = 80017 AND gid = 0))) WHERE rn = 1 AND NOT tomb""")
+  WHERE NOT aborted AND ((commit_ts < 80017 AND txid < 80017) OR (txid = 80017 AND gid = 3))) WHERE rn = 1 AND NOT tomb""")
 def own_write_get(spark, d):
-    return _view(spark, d, 80_017, owner=0).scan()
+    return _view(spark, d, 80_017, owner=3).scan()
 
 
 @_query("snap", "SELECT * FROM snap WHERE starts_with(k, 'u00001')")
 def prefix_seek(spark, d):
-    return _view(spark, d).seek("u00001")
+    return _view(spark, d, users=(10, 19)).seek("u00001")
 
 
 @_query("snap", "SELECT * FROM snap WHERE k > 'u000010' AND k <= 'u000040'")
 def range_incl_excl(spark, d):
-    return _view(spark, d).range(KeyRange("u000010", "u000040", False, True))
+    return _view(spark, d, users=(11, 40)).range(KeyRange("u000010", "u000040", False, True))
 
 
 @_query("snap", "SELECT * FROM snap WHERE k >= 'u000100'")
@@ -151,7 +166,12 @@ def range_inverted(spark, d):
 
 @_query("snap", "SELECT *, row_number() OVER (ORDER BY k DESC) AS place FROM snap WHERE k >= 'u000010' AND k < 'u000060'")
 def reverse_scan(spark, d):
-    return reads.ranked(_view(spark, d).range(KeyRange("u000010", "u000060")), reverse=True)
+    return reads.ranked(_view(spark, d, users=(10, 59)).range(KeyRange("u000010", "u000060")), reverse=True).drop("n")
+
+
+@_query("snap", "SELECT *, row_number() OVER (ORDER BY k) AS place FROM snap")
+def ordered_scan(spark, d):
+    return reads.ranked(_view(spark, d).scan()).drop("n")
 
 
 @_query("snap", "SELECT k, v, txid, least(2 * p - 1, 2 * (n - p + 1)) AS turn FROM (SELECT *, row_number() OVER (ORDER BY k) AS p, count(*) OVER () AS n FROM snap WHERE starts_with(k, 'u0000'))")
@@ -159,12 +179,12 @@ def both_ends(spark, d):
     return reads.both_ends(_view(spark, d).seek("u0000"))
 
 
-@_query("ver", "SELECT k, arg_max(v, txid) AS v, max(txid) AS txid, arg_max(tomb, txid) AS tomb, arg_max(aborted, txid) AS aborted FROM ver GROUP BY k")
+@_query("ver", "SELECT k, v, txid, cmd, tomb, aborted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY txid DESC, cmd DESC) AS rn FROM ver) WHERE rn = 1")
 def head_lookup(spark, d):
-    return reads.heads(_versions(spark, d)).select("k", "v", "txid", "tomb", "aborted")
+    return reads.heads(_versions(spark, d)).select("k", "v", "txid", "cmd", "tomb", "aborted")
 
 
-@_query("ver", "SELECT k, max(txid) AS txid, arg_max(tomb, txid) AS tomb, arg_max(gid, txid) AS gid FROM ver GROUP BY k")
+@_query("ver", "SELECT k, max(txid) AS txid, arg_max(tomb, txid * 4 + cmd) AS tomb, arg_max(gid, txid) AS gid FROM ver GROUP BY k")
 def head_meta(spark, d):
     return reads.heads(_versions(spark, d), value=False).select("k", "txid", "tomb", "gid")
 
@@ -174,20 +194,20 @@ def keys_only(spark, d):
     return _view(spark, d).keys()
 
 
-@_query("ver", f"SELECT k, txid, v, tomb, row_number() OVER (ORDER BY txid DESC) AS age FROM ver WHERE k = 'u000007' AND NOT aborted AND commit_ts < {S} AND txid < {S}")
+@_query("ver", f"SELECT k, txid, cmd, v, tomb, row_number() OVER (ORDER BY txid DESC, cmd DESC) AS age FROM ver WHERE k = '{LIVE}' AND NOT aborted AND commit_ts < {S} AND txid < {S}")
 def history_versions(spark, d):
-    return reads.history(_versions(spark, d), "u000007", S).drop("cmd")
+    return reads.history(_versions(spark, d, (_number(LIVE),) * 2), LIVE, S)
 
 
-@_query("ver", """SELECT s, k, v, txid FROM (SELECT s, ver.*, row_number() OVER (PARTITION BY s, k ORDER BY txid DESC) AS rn FROM ver
+@_query("ver", """SELECT s, k, v, txid FROM (SELECT s, ver.*, row_number() OVER (PARTITION BY s, k ORDER BY txid DESC, cmd DESC) AS rn FROM ver
   JOIN (SELECT unnest([20001, 80001, 140001]) AS s) ON txid < s AND commit_ts < s WHERE NOT aborted) WHERE rn = 1 AND NOT tomb""")
 def multi_snapshot(spark, d):
     return reads.multi_snapshot(_versions(spark, d), spark.createDataFrame([(20_001,), (80_001,), (140_001,)], "s long"))
 
 
-@_query("snap", "SELECT * FROM snap WHERE k IN (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) FROM customer WHERE c_custkey % 3 = 0)")
+@_query("snap", "SELECT * FROM snap WHERE k IN (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) FROM customer)")
 def batched_get(spark, d):
-    keys = adapters.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("k"))
+    keys = adapters.table(spark, d, "customer").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("k"))
     return _view(spark, d).get_many(keys)
 
 
@@ -205,14 +225,14 @@ def url_prefix_seek(spark, d):
 # operations and transactions
 
 
-@_query("oc", "SELECT seq, k, op, outcome FROM oc")
+@_query("oc", "SELECT seq, k, op, outcome, CASE WHEN outcome = 'Ok' AND eff = 1 THEN CASE live WHEN 1 THEN 'Replace' ELSE 'Insert' END END AS effect FROM oc")
 def op_outcomes(spark, d):
-    return dml.outcomes(_log(spark, d)).select("seq", "k", "op", "outcome")
+    return dml.outcomes(_log(spark, d)).select("seq", "k", "op", "outcome", "effect")
 
 
-@_query("ver", "SELECT k, txid, gid, v, tomb, aborted, commit_ts FROM ver")
+@_query("ver", "SELECT k, txid, cmd, gid, v, tomb, aborted, commit_ts FROM ver")
 def versions_from_ops(spark, d):
-    return _versions(spark, d).drop("cmd")
+    return _versions(spark, d)
 
 
 @_query("txns", "SELECT * FROM txns")
@@ -239,12 +259,13 @@ def first_writer_wins(spark, d):
     return dml.first_writer_wins(adapters.overlapping(spark, d))
 
 
-@_query("", """WITH p AS (SELECT page_id, octet_length(encode(url)) AS n, octet_length(encode(html)) AS m FROM pages)
+@_query("", """WITH p AS (SELECT page_id, octet_length(encode(url)) AS n FROM pages UNION ALL SELECT -n, n FROM (SELECT unnest([115, 116, 65521, 65522]) AS n))
 SELECT page_id, CAST(n + 12 + CASE WHEN n + 12 < 128 THEN 1 WHEN n + 12 < 16384 THEN 2 ELSE 3 END AS BIGINT) AS packed,
  n + 12 + CASE WHEN n + 12 < 128 THEN 1 WHEN n + 12 < 16384 THEN 2 ELSE 3 END > 65536 AS large FROM p""")
 def size_guard(spark, d):
-    k, v = F.col("url"), F.col("html")
-    return adapters.table(spark, d, "pages").select("page_id", packed_key_bytes(k).alias("packed"), too_large(k, v).alias("large"))
+    pages = adapters.table(spark, d, "pages").select("page_id", "url", "html")
+    limits = spark.createDataFrame([(-n, n) for n in (115, 116, 65_521, 65_522)], "page_id long, n int").selectExpr("page_id", "repeat('k', n) AS url", "'' AS html")
+    return pages.unionByName(limits).select("page_id", packed_key_bytes(F.col("url")).alias("packed"), too_large(F.col("url"), F.col("html")).alias("large"))
 
 
 @_query("", "SELECT event_id AS ticket, CAST(event_id % 16 AS INTEGER) AS home, CAST((event_id % 16 + 1 + (event_id // 16) % 15) % 16 AS INTEGER) AS other FROM events")
@@ -259,6 +280,17 @@ def safe_boundary(spark, d):
     return mvcc.safe_boundary(adapters.overlapping(spark, d), CUT)
 
 
+@_query("over", f"""SELECT fl AS floor, greatest(40000, least(fl, coalesce((SELECT min(txid) FROM over_ WHERE commit_ts < {CUT} AND commit_ts >= fl), fl))) AS safe
+FROM (SELECT least(60001, coalesce(min(txid) FILTER (WHERE txid < {CUT} AND commit_ts >= {CUT}), 60001)) AS fl FROM over_)""")
+def safe_boundary_views(spark, d):
+    return mvcc.safe_boundary(adapters.overlapping(spark, d), CUT, views=(70_001, 60_001), before=40_000)
+
+
+@_query("over", f"SELECT least({CUT}, coalesce(min(txid) FILTER (WHERE txid < {CUT} AND commit_ts >= {CUT}), {CUT})) AS floor, 40000 AS safe FROM over_")
+def safe_boundary_registering(spark, d):
+    return mvcc.safe_boundary(adapters.overlapping(spark, d), CUT, before=40_000, registering=True).withColumn("safe", F.col("safe").cast("int"))
+
+
 @_query("txns", "SELECT m AS abort_floor, greatest(0, least(79905, m) - 1) AS safe_txid FROM (SELECT coalesce(min(txid), 9223372036854775807) AS m FROM txns WHERE state = 'aborted')")
 def compact_safe_txid(spark, d):
     return mvcc.compact_safe_txid(79_905, _txns(spark, d))
@@ -288,21 +320,22 @@ def abort_task_counts(spark, d):
 # compaction
 
 
-@_query("ver", f"SELECT k, txid, tomb FROM (SELECT *, row_number() OVER (PARTITION BY k, txid <= {SAFE} ORDER BY txid DESC) AS rn FROM ver) WHERE txid > {SAFE} OR (rn = 1 AND NOT tomb)")
+@_query("ver", f"SELECT k, txid, cmd, tomb FROM (SELECT *, row_number() OVER (PARTITION BY k, txid <= {SAFE} ORDER BY txid DESC, cmd DESC) AS rn FROM ver) WHERE txid > {SAFE} OR (rn = 1 AND NOT tomb)")
 def compact_versions(spark, d):
-    return compact.compact(_versions(spark, d), SAFE).select("k", "txid", "tomb")
+    return compact.compact(_versions(spark, d), SAFE).select("k", "txid", "cmd", "tomb")
 
 
-@_query("ver", f"SELECT k, txid, tomb FROM (SELECT *, row_number() OVER (PARTITION BY k, txid <= {SAFE} ORDER BY txid DESC) AS rn FROM ver WHERE NOT aborted) WHERE txid > {SAFE} OR (rn = 1 AND NOT tomb)")
+@_query("ver", f"SELECT k, txid, cmd, tomb FROM (SELECT *, row_number() OVER (PARTITION BY k, txid <= {SAFE} ORDER BY txid DESC, cmd DESC) AS rn FROM ver WHERE NOT aborted) WHERE txid > {SAFE} OR (rn = 1 AND NOT tomb)")
 def compact_drop_aborted(spark, d):
     log = _log(spark, d)
-    return compact.compact_dropping(dml.versions(log), SAFE, log.where("aborted").select("txid")).select("k", "txid", "tomb")
+    return compact.compact_dropping(dml.versions(log), SAFE, log.where("aborted").select("txid")).select("k", "txid", "cmd", "tomb")
 
 
-@_query("ver", "SELECT k, txid, v FROM ver")
+@_query("ver", "SELECT k, txid, cmd, CASE WHEN txid > 60000 THEN v || '!' ELSE v END AS v FROM ver")
 def merge_delta_base(spark, d):
     v = _versions(spark, d)
-    return compact.merge(v.where("txid > 60000"), v.where("txid < 90000")).select("k", "txid", "v")
+    delta = v.where("txid > 60000").withColumn("v", F.concat("v", F.lit("!")))  # shows which side a version is from
+    return compact.merge(delta, v.where("txid < 90000")).select("k", "txid", "cmd", "v")
 
 
 @_query("", "SELECT doc_id, CASE WHEN octet_length(encode(text)) + 1 >= 4096 THEN 'blob' ELSE 'inline' END AS storage FROM documents")
@@ -346,29 +379,37 @@ def wal_file_range(spark, d):
 
 def _redo(spark, d):
     log = wal.readable(_wal(spark, d))
-    frontier = spark.createDataFrame([(b, g, 3000 * (b + 1) + 10 * g) for b in range(3) for g in (0, 1, 2)], "bucket long, gid long, durable long")
-    heads = _log(spark, d).where("seq < 4000 AND seq % 11 = 5").groupBy((F.col("seq") % 3).alias("bucket"), "k").agg(F.max("txid").alias("head"))
+    at = [(b, g, 3000 * (b + 1) + 10 * g) for b in range(3) for g in (0, 1, 2)]
+    frontier = spark.createDataFrame([(b, g, p // 512, p) for b, g, p in at], "bucket long, gid long, durable_file long, durable long")
+    heads = _log(spark, d).where("seq < 4000 AND seq % 11 = 5").groupBy((F.col("seq") % 3).alias("bucket"), "k").agg(F.max(F.struct("txid", (F.col("cmd") * 3 - 2).alias("cmd"))).alias("h"))
+    heads = heads.select("bucket", "k", F.col("h.txid").alias("head"), F.col("h.cmd").alias("head_cmd"))
     return wal.redo(log, frontier, heads, spark.createDataFrame([(0,), (1,)], "bucket long"))
 
 
 _REDO = """, fate AS (SELECT txid FROM good WHERE kind = 'Commit' GROUP BY txid),
-heads AS (SELECT seq % 3 AS bucket, k, max(txid) AS head FROM ops WHERE seq < 4000 AND seq % 11 = 5 GROUP BY 1, 2),
+heads AS (SELECT seq % 3 AS bucket, k, max(txid * 16 + cmd * 3 - 2) AS head FROM ops WHERE seq < 4000 AND seq % 11 = 5 GROUP BY 1, 2),
 redo AS (SELECT g.* FROM good g JOIN fate USING (txid) LEFT JOIN heads h ON h.bucket = g.bucket AND h.k = g.k
-  WHERE kind = 'Update' AND g.bucket IN (0, 1) AND (g.gid = 3 OR pos > 3000 * (g.bucket + 1) + 10 * g.gid) AND (head IS NULL OR head < g.txid))"""
+  WHERE kind = 'Update' AND g.bucket IN (0, 1) AND (g.gid = 3 OR pos > 3000 * (g.bucket + 1) + 10 * g.gid) AND (head IS NULL OR head < g.txid * 16 + g.cmd))"""
 _PARTS["redo"] = _REDO.removeprefix(", ")
 _NEEDS["redo"] = ["good"]
 
 
-@_query("redo", "SELECT bucket, gid, k, v, txid, pos FROM redo")
+@_query("redo", "SELECT bucket, gid, k, v, txid, cmd, file, pos FROM redo")
 def wal_redo_gate(spark, d):
     return _redo(spark, d)
 
 
-@_query("redo", "SELECT bucket, k, v, txid, row_number() OVER (PARTITION BY bucket, k ORDER BY txid) AS step FROM redo")
+@_query("redo", "SELECT bucket, k, v, txid, cmd, row_number() OVER (PARTITION BY bucket, k ORDER BY txid, cmd) AS step FROM redo")
 def wal_redo_apply(spark, d):
     from pyspark.sql import Window
 
-    return _redo(spark, d).select("bucket", "k", "v", "txid", F.row_number().over(Window.partitionBy("bucket", "k").orderBy("txid")).cast("long").alias("step"))
+    return _redo(spark, d).select("bucket", "k", "v", "txid", "cmd", F.row_number().over(Window.partitionBy("bucket", "k").orderBy("txid", "cmd")).cast("long").alias("step"))
+
+
+@_query("wal", """SELECT DISTINCT gid, reason FROM (SELECT gid, 'damaged' AS reason FROM wal WHERE NOT intact UNION ALL
+  SELECT gid, 'gap' FROM (SELECT gid, file, lead(file) OVER (PARTITION BY gid ORDER BY file) AS nx FROM (SELECT DISTINCT gid, file FROM wal WHERE file % 7 <> 3 OR gid > 1)) WHERE nx > file + 1)""")
+def wal_corruption(spark, d):
+    return wal.corrupt(_wal(spark, d).where("file % 7 <> 3 OR gid > 1"), truncate=False)
 
 
 @_query("good", "SELECT max(txid) + 1 AS oracle FROM good")
@@ -426,6 +467,21 @@ def orphan_files(spark, d):
     return meta.orphans(files.where("file_id % 3 = 0"), files.where("file_id % 2 = 0"))
 
 
+@_query("iv", """, x AS (SELECT file_id, lo, CASE WHEN file_id % 7 = 0 THEN hi + 250 ELSE hi END AS hi FROM iv)
+SELECT file_id, t.file_id AS other FROM (SELECT file_id, lo, max({'hi': hi, 'file_id': file_id}) OVER (ORDER BY lo, hi, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM x) WHERE t.hi >= lo""")
+def interval_overlaps(spark, d):
+    rows = adapters.intervals(spark, d)
+    return meta.overlapping(rows.withColumn("hi", F.when(F.col("file_id") % 7 == 0, F.col("hi") + 250).otherwise(F.col("hi"))), width=1000)
+
+
+@_query("iv", """SELECT file_id, lo, CASE WHEN file_id % 5 = 1 THEN hi + 3 ELSE hi END AS hi FROM iv WHERE file_id % 5 <> 0 UNION ALL SELECT 1000000 + n, -100 * n, -100 * n + 9 FROM (SELECT unnest([1, 2]) AS n)""")
+def interval_updates(spark, d):
+    rows = adapters.intervals(spark, d)
+    change = lambda part, seq, hi, file_id: rows.where(part).select("lo", F.lit(seq).alias("seq"), hi.alias("hi"), file_id.cast("long").alias("file_id"))
+    changes = change("file_id % 5 = 0", 1, F.col("hi"), F.lit(None)).unionByName(change("file_id % 5 = 1", 1, F.col("hi"), F.lit(None))).unionByName(change("file_id % 5 = 1", 2, F.col("hi") + 3, F.col("file_id")))
+    return meta.changed_intervals(rows, changes.unionByName(spark.createDataFrame([(-100 * n, 1, -100 * n + 9, 1_000_000 + n) for n in (1, 2)], "lo long, seq int, hi long, file_id long")))
+
+
 # garbage collection
 
 
@@ -451,6 +507,13 @@ def gc_batch(spark, d):
     return gc.batch(adapters.file_stats(spark, d), 100_000, 30_000, 20)
 
 
+@_query("rank", """, u AS (SELECT bucket_id FROM fs WHERE active_elems > 0 GROUP BY bucket_id HAVING (sum(total_size) - sum(active_size)) * 100 >= 20 * sum(total_size)),
+ct AS (SELECT bucket_id, min(place) FILTER (WHERE cum >= 11000 AND place > 1) AS cut FROM rk GROUP BY bucket_id)
+SELECT bucket_id, file_id, place FROM rk JOIN ct USING (bucket_id) JOIN u USING (bucket_id) WHERE place <= cut""")
+def gc_batch_lazy(spark, d):
+    return gc.batch(adapters.file_stats(spark, d), 100_000, 11_000, 20, eager=False)
+
+
 @_query("iv", "SELECT file_id, lo, hi FROM iv WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey BETWEEN lo AND hi AND l_quantity = 50 AND l_linenumber = 6)")
 def gc_intervals(spark, d):
     live = adapters.table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 6").select(F.col("l_orderkey").alias("addr"))
@@ -530,14 +593,17 @@ def ewma(spark, d):
     return observe.averages(adapters.metrics(spark, d))
 
 
-@_query("", """SELECT event_id, burst, greatest(greatest(dirty - progress, 0) + 0 + write, 0) <= CASE WHEN dirty >= 67108864 THEN 67108864 + burst + least(progress, burst * 3) ELSE 67108864 END AS admitted, least(greatest(burst // 8, 1048576), burst) AS wake
-FROM (SELECT event_id, 8388608 AS burst, event_id * 9973 % 100000000 AS dirty, event_id * 7907 % 20000000 AS progress, 1 + event_id % 5000 AS write FROM events)""")
+@_query("", """WITH a AS (SELECT event_id, (32 + event_id % 3 * 32) * 1048576 AS pool, event_id % 4 * 4194304 AS unit, event_id * 9973 % 100000000 AS dirty,
+  event_id * 7907 % 20000000 AS progress, event_id % 5 * 1000000 AS reserved, event_id % 5000 AS write FROM events),
+b AS (SELECT *, least(greatest(least(unit, pool // 8), least(greatest(pool // 64, 1048576), pool)), pool) AS burst FROM a)
+SELECT event_id, CAST(burst AS INTEGER) AS burst, write = 0 OR greatest(dirty - progress, 0) + reserved + greatest(least(write, pool), 1) <= CASE WHEN dirty >= pool THEN pool + burst + least(progress, burst * 3) ELSE pool END AS admitted,
+  CAST(least(greatest(burst // 8, 1048576), burst) AS INTEGER) AS wake FROM b""")
 def admission(spark, d):
     n = F.col("event_id")
-    pool, unit = F.lit(64 << 20), F.lit(16 << 20)
+    pool, unit, reserved = (n % 3 * 32 + 32) * (1 << 20), n % 4 * (4 << 20), n % 5 * 1_000_000
     burst = scalars.admission_burst(pool, unit)
-    rows = adapters.table(spark, d, "events").select("event_id", (n * 9973 % 100_000_000).alias("dirty"), (n * 7907 % 20_000_000).alias("progress"), (1 + n % 5000).alias("write"))
-    return rows.select("event_id", burst.cast("int").alias("burst"), scalars.admitted(pool, unit, F.col("dirty"), F.col("progress"), F.lit(0), F.col("write")).alias("admitted"), scalars.admission_wake(burst).cast("int").alias("wake"))
+    admitted = scalars.admitted(pool, unit, n * 9973 % 100_000_000, n * 7907 % 20_000_000, reserved, n % 5000)
+    return adapters.table(spark, d, "events").select("event_id", burst.cast("int").alias("burst"), admitted.alias("admitted"), scalars.admission_wake(burst).cast("int").alias("wake"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

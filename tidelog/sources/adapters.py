@@ -10,14 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A serial log of one-operation transactions: seq, k, op, v, txid, commit_ts, aborted, gid."""
+def ops(spark: SparkSession, sf_dir: str, users: tuple[int, int] | None = None) -> DataFrame:
+    """A serial log of transactions of three operations: seq, k, op, v, txid, cmd, commit_ts, aborted, gid.
+
+    users: the least and largest number of the keys that are asked for; what else is there isn't read, as it changes no key.
+    """
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    e = e if users is None else e.where(F.col("user_id").between(*users))
+    t = F.expr("event_id DIV 3")
     op = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "click", "update").when(F.col("event_type") == "error", "del").otherwise("upsert")
     return e.select(
         n.alias("seq"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), op.alias("op"),
         F.when((F.col("event_type") == "error") | (n % 17 == 0), "").otherwise(F.col("props")).alias("v"),
-        (n * 16 + 1).alias("txid"), (n * 16 + 2).alias("commit_ts"), (n % 13 == 0).alias("aborted"), (n % 4).alias("gid"),
+        (t * 48 + 1).alias("txid"), (n % 3 + 1).alias("cmd"), (t * 48 + 40).alias("commit_ts"), (t % 13 == 0).alias("aborted"), (t % 4).alias("gid"),
     )
 
 
@@ -28,14 +33,26 @@ def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wal(log: DataFrame) -> DataFrame:
-    """Begin, Update and Commit or Abort records of a log: gid, file, pos, kind, txid, k, v, bucket, intact.
+    """Begin, Update and Commit or Abort records of a log: gid, file, pos, kind, txid, cmd, k, v, bucket, intact.
 
-    Each fortieth transaction has no end, as after a crash; one late record of group 2 is torn.
+    An operation is one to three updates of its key, numbered through its transaction. Each fortieth transaction has no end, as
+    after a crash; one late record of group 2 is torn.
     """
-    kind = F.expr("stack(3, 0, 'Begin', 1, 'Update', 2, CASE WHEN aborted THEN 'Abort' ELSE 'Commit' END) AS (part, kind)")
-    out = log.select("seq", "gid", "txid", "k", "v", kind).where("NOT (part = 2 AND seq % 40 = 7)")
-    pos = F.col("seq") * 3 + F.col("part")
-    return out.select("gid", F.floor(pos / 512).cast("long").alias("file"), pos.cast("long").alias("pos"), "kind", "txid", "k", "v", (F.col("seq") % 3).alias("bucket"), (~((F.col("gid") == 2) & (F.col("seq") % 2000 == 1602) & (F.col("part") == 1))).alias("intact"))
+    first, last = F.col("cmd") == 1, F.col("cmd") == 3
+    parts = F.concat(F.when(first, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.sequence(F.lit(1), (F.col("seq") % 3 + 1).cast("int")), F.when(last, F.array(F.lit(4))).otherwise(F.array().cast("array<int>")))
+    rows = log.select("seq", "gid", "txid", "aborted", "k", "v", F.col("cmd").alias("op_no"), F.explode(parts).alias("part"))
+    rows = rows.where(f"NOT (part = 4 AND {_TXN} % 40 = 7)")
+    kind = F.when(F.col("part") == 0, "Begin").when(F.col("part") < 4, "Update").when(F.col("aborted"), "Abort").otherwise("Commit")
+    pos = F.col("seq") * 5 + F.col("part")
+    value = F.when(F.col("part") < 2, F.col("v")).otherwise(F.concat("v", F.lit("+"), F.col("part").cast("string")))
+    return rows.select(
+        "gid", F.expr("(seq * 5 + part) DIV 512").alias("file"), pos.alias("pos"), kind.alias("kind"), "txid", F.when(F.col("part").between(1, 3), F.col("op_no") * 3 + F.col("part") - 3).alias("cmd"),
+        "k", value.alias("v"), (F.col("seq") % 3).alias("bucket"), (~((F.col("gid") == 2) & (F.col("seq") % 2000 == 1602) & (F.col("part") == 1))).alias("intact"),
+    )
+
+
+#: The number of a transaction, from its operations' numbers.
+_TXN = "(seq DIV 3)"
 
 
 def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
