@@ -228,6 +228,7 @@ def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int,
     sizes = sizes.groupBy("family").agg(F.sum("size").alias("m"), F.sum("bytes").alias("b"), F.max(F.struct("size", "c", "bytes")).alias("main"))
     blocks = lambda size, held: F.greatest(F.ceil(size / BLOCK), F.when(size > 0, F.ceil(held / BLOCK_BYTES)).otherwise(0))
     sizes = sizes.select("family", F.col("main.c").alias("main"), blocks(F.col("m"), F.col("b")).alias("ny"), blocks(F.col("m") - F.col("main.size"), F.col("b") - F.col("main.bytes")).alias("nx"))
+    sizes = common.written(sizes, "family-sizes")  # so that the join below is one of two plain shuffles
     dealt = members.join(sizes, "family").withColumn("h", F.xxhash64("rep"))
     x = dealt.where("c <> main").select("family", "rep", "c", F.lit(True).alias("outside"), F.expr("pmod(h, nx)").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
     y = dealt.select("family", "rep", "c", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.expr("pmod(h, ny)").alias("by"))
@@ -243,7 +244,7 @@ def _rest(regions: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int,
         return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64()), "linked": pa.array(np.ones(len(u), bool))})
 
     out = common.written(blocks.select("family", "bx", "by", "rep", "c", "outside", "text").groupBy("family", "bx", "by").applyInArrow(run, "a long, b long, linked boolean"), "third")
-    common.release(of, mixed, members, families)
+    common.release(of, mixed, members, families, sizes)
     return out
 
 
