@@ -201,23 +201,28 @@ class PrefixEncoder:
 
 
 class _Pieces(dict):
-    """Ids of pieces as little-endian bytes; emptied when full."""
+    """Ids of pieces as little-endian bytes, and in decoded what these ids decode to; emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.decoded: dict[str, bytes] = {}
         self.long: list[str] = []
 
     def learn(self, pieces: set[str]) -> None:
         """Make sure that these pieces are known. Long ones stay until others are asked for."""
         for piece in self.long:
             self.pop(piece, None)
+            self.decoded.pop(piece, None)
         if len(self) >= CACHE_ROWS:
             self.clear()
+            self.decoded.clear()
+        token = self.vocabulary.tokens
         new = sorted((p.encode(), p) for p in pieces if p not in self)
         self.long = [p for _, p in new if len(p) > 64]
         for (_, piece), ids in zip(new, self.vocabulary.encode_sorted([b for b, _ in new]), strict=True):
             self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            self.decoded[piece] = b"".join([token[i] for i in ids])
 
 
 _ready: dict[bytes, _Pieces] = {}
@@ -248,7 +253,7 @@ def encode_decode(df: DataFrame, tokens: list[bytes], pattern: str, id_col: str
         import regex
 
         cache = _pieces(kept.value)
-        find, vocab = regex.compile(pattern).findall, cache.vocabulary.tokens
+        find = regex.compile(pattern).findall
         for batch in batches:
             for start, end in common.pieces(batch.column(1)):
                 counts, first, second = [], [], []
@@ -256,7 +261,7 @@ def encode_decode(df: DataFrame, tokens: list[bytes], pattern: str, id_col: str
                 cache.learn(set().union(*found))
                 for pieces in found:
                     ids = b"".join(map(cache.__getitem__, pieces))
-                    decoded = b"".join(map(vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    decoded = b"".join(map(cache.decoded.__getitem__, pieces))  # what a piece's ids decode to, however often it stands
                     counts.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<i4"))
                     second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
