@@ -168,14 +168,15 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows = df.select(df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     large = F.octet_length("payload") >= least
-    firsts = rows.where(large).groupBy(F.col("digest").alias("same")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
+    sized = common.written(rows.select("id", F.octet_length("payload").cast("long").alias("bytes"), F.when(large, F.col("digest")).alias("same")), "payloads")
+    firsts = sized.where("same IS NOT NULL").groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
     rows = rows.join(firsts, large & (F.col("digest") == F.col("same")), "left")
     values = rows.select("id", "url", "payload", "digest", "first").mapInArrow(common.lean(run), "value string")
     # readers take a file as a whole, so what is in one is bounded
-    size = F.octet_length(payload)
-    mean, most = df.select(F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0))).first()
+    mean, most = sized.select(F.coalesce(F.avg("bytes"), F.lit(0.0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     records_in = max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 1)), MOST_FILE_BYTES // (most + 1)))
     values.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_in).text(path)
+    common.release(sized)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
