@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import linededup
+from tidelog.llm import common, linededup
 
 
 def brute(rows, window=3):
@@ -53,3 +53,20 @@ def test_hot_lines_and_other_window_sizes(spark):
     for window in (1, 2, 4):
         got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(df, window).collect()}
         assert got == brute(rows, window)
+
+
+def test_small_tables_are_joined_like_large_ones(spark, monkeypatch):
+    plans, write = [], common.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", written)
+    rows = [(i, "\n".join(["one", "two", "three", f"own {i}"])) for i in range(20)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert got == brute(rows)
+    plans = [p for p in plans if "Join" in p]
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)

@@ -49,17 +49,18 @@ def repeated_runs(df: DataFrame, window: int) -> DataFrame:
     """doc, hash and the sorted runs (low, high: places from and to among the lines that aren't blank) that repeat earlier lines."""
     every = common.written(fingerprints(df, window), "fingerprints")
     place = F.xxhash64("doc", "hash", "at")
-    # written, like what follows, so that joins are those of two plain shuffles, which can be split where a key is hot
+    # written, like what follows, so that joins are those of two plain shuffles, which can be split where a key is hot; the hints
+    # keep them so on small tables, which would be broadcast, so that one plan holds at every size
     marks = common.written(every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark"), "marks")
     begins = F.array(*[F.struct((F.col("at") - (window - 1 - k)).alias("i"), F.col(f"w{k}").alias("w")) for k in range(window)])
-    held = every.join(marks, "mark", "left_semi").select("doc", "hash", F.inline(F.filter(begins, lambda x: x["w"].isNotNull())))
+    held = every.join(marks.hint("merge"), "mark", "left_semi").select("doc", "hash", F.inline(F.filter(begins, lambda x: x["w"].isNotNull())))
     held = common.written(held.select("doc", "hash", "i", "w.*"), "held")
     common.release(every, marks)
     key = [f"k{k}" for k in range(window)]
     where = F.struct(F.col("doc"), F.col("hash"), F.col("i"))
     firsts = held.groupBy(*key).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select(*key, "first")
     firsts = common.written(firsts, "firsts")
-    later = held.join(firsts, key).where(where > F.col("first")).select("doc", "hash", "i")
+    later = held.join(firsts.hint("merge"), key).where(where > F.col("first")).select("doc", "hash", "i")
     order = Window.partitionBy("doc", "hash").orderBy("i")
     begins = F.when(F.col("i") - F.lag("i").over(order) < window, 0).otherwise(1)
     runs = later.distinct().withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
@@ -82,7 +83,7 @@ def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
     named = df.drop("n_lines", "n_removed").withColumn("__doc", F.col(id_col)).withColumn("__hash", F.xxhash64(text_col))
     runs = repeated_runs(named.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), F.col(text_col).alias("text")), window)
     runs = runs.select(F.col("doc").alias("__of"), F.col("hash").alias("__to"), F.col("runs").alias("__places"))
-    joined = named.join(runs, F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__to")), "left")
+    joined = named.join(runs.hint("merge"), F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__to")), "left")
     cut = joined.withColumn("__cut", F.when(F.col("__places").isNotNull(), _cut(text_col, "__places")))
     has = F.col("__cut").isNotNull()
     columns = [F.when(has, F.col("__cut.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in named.columns if not c.startswith("__")]
