@@ -24,6 +24,8 @@ from tidelog.llm import common
 FILE_BYTES, MOST_FILE_BYTES, FILE_RECORDS = 64 << 20, 1 << 30, 8000
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
+#: Digests of shared payloads are marked in a table of 2 ** MARK_BITS bits at most, which is broadcast.
+MARK_BITS = 24
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
 VERSION = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -148,7 +150,8 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     The payload is the text in UTF-8; a null one is empty. Of rows with equal payloads of at least `least` bytes, that with
     the largest id is written as response and the others as revisits that name it; all other rows are responses. Repeated
     rows of the response's id are responses too. A row with a null id names no row: it is a revisit if a row with an id has
-    its payload. Columns that aren't named are not read. An empty table gives a folder without records.
+    its payload. Columns that aren't named are not read. An empty table gives a folder without records. df is computed three
+    times and must give the same payloads each time.
     """
     common.ship(df.sparkSession)
 
@@ -170,13 +173,22 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     large = F.octet_length("payload") >= least
     sized = common.written(rows.select("id", F.octet_length("payload").cast("long").alias("bytes"), F.when(large, F.col("digest")).alias("same")), "payloads")
     firsts = sized.where("same IS NOT NULL").groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
-    rows = rows.join(firsts, large & (F.col("digest") == F.col("same")), "left")
+    firsts = common.written(firsts, "firsts")
+    # only rows that share a payload, and those whose digest meets a mark by chance, move to be joined; others are written where they are read
+    word = lambda c: F.shiftright(F.xxhash64(c).bitwiseAND((1 << MARK_BITS) - 1), 6)
+    bit = lambda c: F.xxhash64(c).bitwiseAND(63).cast("int")
+    marks = firsts.groupBy(word("same").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("same"))).alias("bits"))
+    known = rows.join(F.broadcast(marks), F.when(large, word("digest")) == F.col("word"), "left")
+    marked = F.coalesce(F.getbit("bits", bit("digest")) == 1, F.lit(False))
+    alone = known.where(~marked).select(*rows.columns, F.lit(None).cast("long").alias("first"))
+    moved = known.where(marked).select(*rows.columns).join(firsts, F.col("digest") == F.col("same"), "left").select(*rows.columns, "first")
+    rows = alone.unionByName(moved)
     values = rows.select("id", "url", "payload", "digest", "first").mapInArrow(common.lean(run), "value string")
     # readers take a file as a whole, so what is in one is bounded
     mean, most = sized.select(F.coalesce(F.avg("bytes"), F.lit(0.0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     records_in = max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 1)), MOST_FILE_BYTES // (most + 1)))
     values.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_in).text(path)
-    common.release(sized)
+    common.release(sized, firsts)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
